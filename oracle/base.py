@@ -301,8 +301,10 @@ entry AS (SELECT d, pos, lower(title || ' ' || description) AS txt FROM career),
 entry_hit AS (SELECT r.jd_id, e.d, e.pos, count(w) FILTER (early AND contains(txt, w)) AS early_hits,
     count(w) FILTER (length(w) > 2 AND contains(txt, w)) AS domain_hits
   FROM entry e CROSS JOIN raw r LEFT JOIN word USING (jd_id) GROUP BY r.jd_id, e.d, e.pos),
-entry_avg AS (SELECT jd_id, d, coalesce(avg(least(1.0, early_hits * 0.15::DOUBLE)) FILTER (pos <= 2), 0) AS recent,
-    coalesce(avg(least(1.0, early_hits * 0.15::DOUBLE)) FILTER (pos > 2), 0) AS older,
+entry_avg AS (SELECT jd_id, d, coalesce(list_reduce(list(least(1.0, early_hits * 0.15::DOUBLE) ORDER BY pos) FILTER (pos <= 2), lambda a, b: a + b)
+      / count(*) FILTER (pos <= 2), 0) AS recent,
+    coalesce(list_reduce(list(least(1.0, early_hits * 0.15::DOUBLE) ORDER BY pos) FILTER (pos > 2), lambda a, b: a + b)
+      / count(*) FILTER (pos > 2), 0) AS older,
     avg(least(1.0, domain_hits * 0.12::DOUBLE)) AS domain FROM entry_hit GROUP BY jd_id, d),
 vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sims AS (SELECT r.jd_id, p.d, coalesce(list_cosine_similarity(a.v, j.v), 0) AS summary_sim,

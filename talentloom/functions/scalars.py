@@ -7,10 +7,12 @@ receives texts holding non-ASCII characters).
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,23 @@ _FLOAT_TEXT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infini
 _INT_TEXT = r"^\s*[+-]?\d+\s*$"
 
 
+def build_once(builder: Callable) -> Callable:
+    """Keep the Columns a builder returns, per JVM and arguments.
+
+    Columns name their inputs and are resolved per query, so one tree serves every
+    DataFrame. Building a large one costs thousands of gateway calls.
+    """
+    memo: dict = {}
+
+    @functools.wraps(builder)
+    def built(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in memo:
+            memo[key] = builder(*args)
+        return memo[key]
+    return built
+
+
 # -- coercion of VARIANT leaves ------------------------------------------------
 
 def _kind(leaf: Column) -> Column:

@@ -13,13 +13,12 @@ from talentloom import settings as S
 from talentloom.functions import scalars as fx
 
 
-def prepare(candidates: DataFrame) -> DataFrame:
-    """Add the helper columns every operator reads."""
+@fx.build_once
+def _helpers() -> list[Column]:
     career = F.col("career_history")
     described = F.filter(career, lambda e: e["description"] != "")
     scores = F.map_entries("platform_signals.skill_assessment_scores")
-    prepared = candidates.select(
-        "*",
+    return [
         fx.lower_or_empty(F.col("profile.current_title")).alias("title_lc"),
         fx.lower_or_empty(F.col("profile.headline")).alias("headline_lc"),
         fx.lower_or_empty(F.col("profile.summary")).alias("summary_lc"),
@@ -36,14 +35,22 @@ def prepare(candidates: DataFrame) -> DataFrame:
         F.transform(career, lambda e: fx.seniority(e["title"])).alias("levels"),
         F.transform(career, lambda e: fx.company_size_level(e["company_size"])).alias("sizes"),
         F.transform(career, lambda e: e["duration_months"]).alias("months"),
-    )
-    return prepared.select(
-        "*",
+    ]
+
+
+@fx.build_once
+def _joined_helpers() -> list[Column]:
+    return [
         F.array_distinct(F.transform("skill_facts", lambda s: s["name_lc"])).alias("skill_names_lc"),
         F.array_join(F.transform("skill_facts", lambda s: s["name_lc"]), "\n").alias("skills_text"),
         F.array_join(F.transform("assessments", lambda a: a["name_lc"]), "\n").alias("tests_text"),
         F.array_join("entries_lc", "\n").alias("entries_text"),
-    )
+    ]
+
+
+def prepare(candidates: DataFrame) -> DataFrame:
+    """Add the helper columns every operator reads."""
+    return candidates.select("*", *_helpers()).select("*", *_joined_helpers())
 
 
 def career_text(career: Column) -> Column:

@@ -213,19 +213,21 @@ def dimension_weights(dimensions: Column) -> Column:
     return F.struct(*[(value / total).alias(key) for key, value in raw.items()])
 
 
-def hiring_profiles(jobs: DataFrame, patterns: Sequence[str] = S.COMPETENCY_PATTERNS) -> DataFrame:
-    """Structured job rows to hiring profiles, one row per job."""
-    base = jobs.select("jd_id", "paragraphs", "sections", "raw_text",
-                       F.lower("raw_text").alias("text_lc"))
+@fx.build_once
+def _found_columns(patterns: tuple[str, ...]) -> list[Column]:
+    text_lc = F.col("text_lc")
+    return [competency_mentions(text_lc, patterns).alias("mentions"),
+            section_hints(F.col("sections")).alias("hints"), philosophy(text_lc).alias("philosophy")]
+
+
+@fx.build_once
+def _ranked_competencies() -> Column:
+    return classify_competencies(F.col("text_lc"), F.col("mentions"), F.col("hints")).alias("competencies")
+
+
+@fx.build_once
+def _profile_columns() -> list:
     text_lc = F.col("text_lc")
-    found = base.select(
-        "*",
-        competency_mentions(text_lc, patterns).alias("mentions"),
-        section_hints(F.col("sections")).alias("hints"),
-        philosophy(text_lc).alias("philosophy"),
-    )
-    ranked = found.select("*", classify_competencies(
-        text_lc, F.col("mentions"), F.col("hints")).alias("competencies"))
 
     def of_category(category: str) -> Column:
         chosen = F.filter("competencies", lambda c: c["category"] == category)
@@ -235,7 +237,7 @@ def hiring_profiles(jobs: DataFrame, patterns: Sequence[str] = S.COMPETENCY_PATT
     # Required first, then preferred, as the priority shares list them.
     ordered = F.concat(F.filter("competencies", lambda c: c["category"] == "mandatory"),
                        F.filter("competencies", lambda c: c["category"] == "preferred"))
-    return ranked.select(
+    return [
         "jd_id", "raw_text", "sections",
         of_category("mandatory").alias("required"),
         of_category("preferred").alias("preferred"),
@@ -248,7 +250,15 @@ def hiring_profiles(jobs: DataFrame, patterns: Sequence[str] = S.COMPETENCY_PATT
         behavior_expectations(text_lc).alias("behavior_expectations"),
         disqualifiers(text_lc).alias("disqualifiers"),
         dimension_weights(F.col("philosophy")).alias("weights"),
-    )
+    ]
+
+
+def hiring_profiles(jobs: DataFrame, patterns: Sequence[str] = S.COMPETENCY_PATTERNS) -> DataFrame:
+    """Structured job rows to hiring profiles, one row per job."""
+    base = jobs.select("jd_id", "paragraphs", "sections", "raw_text",
+                       F.lower("raw_text").alias("text_lc"))
+    found = base.select("*", *_found_columns(tuple(patterns)))
+    return found.select("*", _ranked_competencies()).select(*_profile_columns())
 
 
 def competency_rows(profiles: DataFrame) -> DataFrame:

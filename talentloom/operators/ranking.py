@@ -75,6 +75,7 @@ def funnel(scored: DataFrame, cutoffs: Sequence[int] = S.FUNNEL_CUTOFFS) -> Data
 
 # -- metadata and explanations: built on the k survivors only ----------------------------
 
+@fx.build_once
 def _dimension_rows() -> Column:
     rows = [F.struct((-F.col(key)).alias("order"), F.lit(i).alias("ord"), F.lit(label).alias("label"),
                      F.col(key).alias("value")) for i, (key, label, _) in enumerate(S.DIMENSIONS)]
@@ -108,6 +109,7 @@ def with_metadata(ranked: DataFrame) -> DataFrame:
     )
 
 
+@fx.build_once
 def _strengths() -> Column:
     c = F.col
     return F.array_compact(F.array(
@@ -124,6 +126,7 @@ def _strengths() -> Column:
     ))
 
 
+@fx.build_once
 def _improvements() -> Column:
     c = F.col
     return F.array_compact(F.array(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom import settings as S
+from talentloom.functions import scalars as fx
 
 AS_OF = "2024-01-31"
 TITLES = ("Principal Engineer", "Senior Data Engineer", "Data Engineer", "Associate Analyst",
@@ -83,16 +84,17 @@ def _skills(pieces: Column) -> Column:
     return F.filter(F.transform(pieces, skill), lambda s: s["name"] != "")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested candidates, one per document, with the signals of the user of the same id."""
-    docs = spread(table(spark, sf_dir, "documents"))
-    signals = signals_by_user(table(spark, sf_dir, "events"))
+@fx.build_once
+def _document_columns() -> list:
     lines = F.filter(F.split("text", "\n"), lambda t: F.trim(t) != "")
     pieces = F.filter(F.split("text", r"\. "), lambda t: F.trim(t) != "")
-    base = docs.join(signals, docs["doc_id"] == signals["user_id"], "left").select(
-        "doc_id", "lang", "source", "n_chars", "views", "applications", "searches", "saved",
-        "n_events", "last_seen", lines.alias("lines"), _career(lines).alias("career_history"),
-        _skills(pieces).alias("skills"))
+    return ["doc_id", "lang", "source", "n_chars", "views", "applications", "searches", "saved",
+            "n_events", "last_seen", lines.alias("lines"), _career(lines).alias("career_history"),
+            _skills(pieces).alias("skills")]
+
+
+@fx.build_once
+def _candidate_columns() -> list:
     d = F.col("doc_id")
     first = F.get("career_history", F.lit(0))
     entries = F.when(d % 3 > 0, F.sequence(F.lit(0), (d % 3 - 1).cast("int"))).otherwise(
@@ -105,8 +107,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((s["duration_months"] * 7 + s["endorsements"]) % 101).cast("double").alias("score"),
         s["endorsements"].alias("e"))), lambda t: t["e"] % 3 == 0)
     count = lambda name: F.coalesce(F.col(name), F.lit(0)).alias
-
-    return base.select(
+    return [
         F.concat(F.lit("CAND_"), F.format_string("%012d", d)).alias("candidate_id"),
         F.struct(
             F.concat(F.lit("Candidate "), d.cast("string")).alias("anonymized_name"),
@@ -160,7 +161,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             (d % 3 != 0).alias("verified_email"), (d % 5 != 0).alias("verified_phone"),
             (d % 2 == 1).alias("linkedin_connected"),
         ).alias("platform_signals"),
-    )
+    ]
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested candidates, one per document, with the signals of the user of the same id."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    signals = signals_by_user(table(spark, sf_dir, "events"))
+    joined = docs.join(signals, docs["doc_id"] == signals["user_id"], "left")
+    return joined.select(*_document_columns()).select(*_candidate_columns())
 
 
 def job_texts(items: DataFrame, id_col: str) -> DataFrame:

@@ -35,24 +35,17 @@ _FIRST_TERMS = 10
 DIMENSION_COLUMNS = tuple(key for key, _, _ in S.DIMENSIONS)
 
 
-def _as_of(as_of: dt.date | str | Column) -> Column:
-    return as_of if isinstance(as_of, Column) else F.to_date(F.lit(str(as_of)))
+_BEHAVIOR = ("engagement", "responsiveness", "activity", "recruiter_interest", "verification",
+             "hiring_readiness", "profile_quality")
 
 
-def candidate_facts(candidates: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
-    """Job-free features and scores of every candidate, plus the matching helpers.
-
-    An optional ``vectors`` column (unit vectors of summary, career, skills and
-    headline, NULL where absent) feeds the semantic score.
-    """
-    prepared = fe.prepare(candidates)
-    if "vectors" not in prepared.columns:
-        prepared = prepared.withColumn("vectors", F.lit(None).cast("array<array<double>>"))
+@fx.build_once
+def _fact_columns(as_of: str) -> list:
     career, signals = F.col("career_history"), F.col("platform_signals")
     n_jobs = F.size("career_history")
-    behavior = en.behavior_parts(signals, _as_of(as_of))
+    behavior = en.behavior_parts(signals, F.to_date(F.lit(as_of)))
 
-    facts = prepared.select(
+    return [
         "candidate_id",
         F.col("profile.anonymized_name").alias("name"),
         F.col("profile.current_title").alias("title"),
@@ -82,48 +75,70 @@ def candidate_facts(candidates: DataFrame, as_of: dt.date | str | Column) -> Dat
         "industry_lc", "title_lc", "headline_lc", "summary_lc", "skill_facts", "certs_lc",
         "descriptions_lc", "entries_lc", "career_lc", "skill_names_lc", "skills_text", "tests_text",
         "entries_text", "assessments", "months", "vectors",
-    )
+    ]
+
+
+@fx.build_once
+def _derived_facts() -> list[Column]:
     mismatch = au.timeline_mismatch(F.col("years"), F.col("career.total_career_months"), F.col("n_jobs"))
-    return facts.select(
-        "*",
-        en.behavioral([F.col(name) for name in behavior]).alias("behavioral_score"),
+    return [
+        en.behavioral([F.col(name) for name in _BEHAVIOR]).alias("behavioral_score"),
         mismatch.alias("timeline_mismatch"),
         au.timeline_consistency(F.col("n_jobs"), mismatch).alias("timeline_consistency"),
         na.direction(F.col("progression"), F.col("n_jobs")).alias("direction"),
-    )
+    ]
+
+
+def candidate_facts(candidates: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """Job-free features and scores of every candidate, plus the matching helpers.
+
+    An optional ``vectors`` column (unit vectors of summary, career, skills and
+    headline, NULL where absent) feeds the semantic score.
+    """
+    if "vectors" not in candidates.columns:
+        candidates = candidates.withColumn("vectors", F.lit(None).cast("array<array<double>>"))
+    facts = fe.prepare(candidates).select(*_fact_columns(str(as_of)))
+    return facts.select("*", *_derived_facts())
 
 
 # -- job side ---------------------------------------------------------------------
 
 def job_views(profiles: DataFrame) -> DataFrame:
     """What scoring needs of each hiring profile. Optional column: ``vector`` (unit)."""
+    if "vector" not in profiles.columns:
+        profiles = profiles.withColumn("vector", F.lit(None).cast("array<double>"))
+    return profiles.select(*_view_columns())
+
+
+@fx.build_once
+def _view_columns() -> list:
     names = lambda column: F.transform(column, lambda c: F.lower(c["name"]))
-    vector = F.col("vector") if "vector" in profiles.columns else F.lit(None).cast("array<double>")
-    return profiles.select(
+    return [
         "jd_id",
         names("required").alias("required"),
         names("preferred").alias("preferred"),
         F.transform("concepts", lambda c: F.lower(c["primary_term"])).alias("concepts"),
-        F.col("experience"), F.col("role.work_mode").alias("role_mode"), F.col("weights"),
-        vector.alias("vector"),
-    )
+        F.col("experience"), F.col("role.work_mode").alias("role_mode"), F.col("weights"), "vector",
+    ]
 
 
 def _words_of(names: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(names, fx.words)))
 
 
-def job_bundle(views: DataFrame) -> DataFrame:
-    """All jobs of a bounded batch as one row: vocabulary, target words, jobs with masks."""
-    merged = views.agg(
-        F.collect_list(F.struct(*views.columns)).alias("jobs"),
+@fx.build_once
+def _bundle_parts(view_columns: tuple[str, ...]) -> list[Column]:
+    return [
+        F.collect_list(F.struct(*view_columns)).alias("jobs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("required", "preferred")))))
         .alias("terms"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(_words_of(F.col("required"))))))
         .alias("words"),
-    ).select("*", ev.chunks(F.size("terms")).alias("term_chunks"),
-             ev.chunks(F.size("words")).alias("word_chunks"))
+    ]
 
+
+@fx.build_once
+def _indexed_jobs() -> Column:
     def ids(names: Column, vocabulary: str) -> Column:
         return F.transform(names, lambda n: (F.array_position(F.col(vocabulary), n) - 1).cast("int"))
 
@@ -146,8 +161,14 @@ def job_bundle(views: DataFrame) -> DataFrame:
             *[j[c].alias(c) for c in ("concepts", "experience", "role_mode", "weights", "vector")],
         )
 
-    return merged.select("terms", "words", "term_chunks", "word_chunks",
-                         F.transform("jobs", indexed).alias("jobs"))
+    return F.transform("jobs", indexed).alias("jobs")
+
+
+def job_bundle(views: DataFrame) -> DataFrame:
+    """All jobs of a bounded batch as one row: vocabulary, target words, jobs with masks."""
+    merged = views.agg(*_bundle_parts(tuple(views.columns))).select(
+        "*", ev.chunks(F.size("terms")).alias("term_chunks"), ev.chunks(F.size("words")).alias("word_chunks"))
+    return merged.select("terms", "words", "term_chunks", "word_chunks", _indexed_jobs())
 
 
 @dataclass(frozen=True)
@@ -203,26 +224,31 @@ def match_terms(facts: DataFrame, bundle: Bundle) -> DataFrame:
     kept = [c for c in joined.columns if c not in _MATCH_HELPERS]
     matched = joined.select(
         *kept, "term_chunks",
-        ev.term_evidence(F.col("terms")).alias("evidence"),
-        ev.entry_masks(F.col("words"), F.col("word_chunks")).alias("entry_masks"),
+        *_trace_columns(),
     )
-    return matched.select(*kept, "evidence", "entry_masks",
-                          ev.term_masks(F.col("evidence"), F.col("term_chunks")).alias("masks"))
+    return matched.select(*kept, "evidence", "entry_masks", _mask_column())
 
 
-def pair_rows(matched: DataFrame, bundle: Bundle) -> DataFrame:
-    """One row per (job, candidate) with the job-dependent features.
+@fx.build_once
+def _trace_columns() -> list[Column]:
+    return [ev.term_evidence(F.col("terms")).alias("evidence"),
+            ev.entry_masks(F.col("words"), F.col("word_chunks")).alias("entry_masks")]
 
-    Every feature is a column of its own: what a caller does not select is pruned.
-    """
-    pairs = matched.withColumn("job", F.explode("jobs"))
+
+@fx.build_once
+def _mask_column() -> Column:
+    return ev.term_masks(F.col("evidence"), F.col("term_chunks")).alias("masks")
+
+
+@fx.build_once
+def _pair_columns(term_chunks: int, word_chunks: int) -> list[Column]:
     job, masks, n = F.col("job"), F.col("masks"), F.col("job.n_competencies")
     picked = lambda ids: ev.pick(F.col("evidence"), job[ids])
-    title_hits = ev.common(masks["in_title"], job["first_mask"], bundle.term_chunks)
+    title_hits = ev.common(masks["in_title"], job["first_mask"], term_chunks)
     concept_hits = F.size(F.filter(job["concepts"], lambda c: F.contains(F.col("industry_lc"), c)))
     columns = {
         "jd_id": job["jd_id"], "n_required": job["n_required"], "n_competencies": n,
-        **ev.rollup(masks, job["all_mask"], n, bundle.term_chunks),
+        **ev.rollup(masks, job["all_mask"], n, term_chunks),
         "title_relevance": fx.clip(title_hits * 0.15),
         "industry_relevance": fx.clip(concept_hits * 0.15),
         "relevant_months": ev.relevant_months(F.col("months"), picked("first_ids")),
@@ -230,20 +256,28 @@ def pair_rows(matched: DataFrame, bundle: Bundle) -> DataFrame:
             F.col("skill.total_skills") > 0,
             ev.relevant_assessment(F.col("assessments"), picked("required_ids"))).otherwise(0.0),
         "unsupported_terms": ev.unsupported(F.col("terms"), picked("term_ids"), job["term_ids"]),
-        "first_hits": ev.hits_per_entry(F.col("entry_masks"), job["first_words"], bundle.word_chunks),
-        "domain_hits": ev.hits_per_entry(F.col("entry_masks"), job["domain_words"], bundle.word_chunks),
+        "first_hits": ev.hits_per_entry(F.col("entry_masks"), job["first_words"], word_chunks),
+        "domain_hits": ev.hits_per_entry(F.col("entry_masks"), job["domain_words"], word_chunks),
         "sim": ve.semantic_scores(F.col("vectors"), job["vector"]),
         "experience": job["experience"], "role_mode": job["role_mode"], "weights": job["weights"],
     }
+    return [value.alias(name) for name, value in columns.items()]
+
+
+def pair_rows(matched: DataFrame, bundle: Bundle) -> DataFrame:
+    """One row per (job, candidate) with the job-dependent features.
+
+    Every feature is a column of its own: what a caller does not select is pruned.
+    """
     kept = [c for c in matched.columns if c not in _PAIR_HELPERS]
-    return pairs.select(*kept, *[value.alias(name) for name, value in columns.items()])
+    pairs = matched.withColumn("job", F.explode("jobs"))
+    return pairs.select(*kept, *_pair_columns(bundle.term_chunks, bundle.word_chunks))
 
 
-def score_rows(pairs: DataFrame) -> DataFrame:
-    """Sub-scores, the seven dimensions, the cheap score and the final score."""
+@fx.build_once
+def _sub_scores() -> list[Column]:
     n_jobs, n = F.col("n_jobs"), F.col("n_competencies")
-    rated = pairs.select(
-        "*",
+    return [
         fx.safe_divide(F.col("matched_count"), n).alias("skills_ratio"),
         (F.col("matched_count") / F.greatest(F.lit(1), F.col("n_required"))).alias("skill_coverage"),
         F.when(n_jobs > 0, na.specialization(F.col("first_hits"))).otherwise(0.0).alias("specialization"),
@@ -256,9 +290,13 @@ def score_rows(pairs: DataFrame) -> DataFrame:
         .alias("mode_compatibility"),
         ve.mean_positive([F.col(f"sim.{n}_similarity") for n in
                           ("summary", "career", "skills", "headline")]).alias("semantic_score"),
-    )
-    fused = rated.select(
-        "*",
+    ]
+
+
+@fx.build_once
+def _fused_scores() -> list[Column]:
+    n_jobs = F.col("n_jobs")
+    return [
         fu.cheap_score({
             "years": F.col("years"), "min_years": F.col("experience.min_years"),
             "max_years": F.col("experience.max_years"), "skill_coverage": F.col("skill_coverage"),
@@ -282,16 +320,26 @@ def score_rows(pairs: DataFrame) -> DataFrame:
         fx.clip(en.recruitability([F.col(c) for c in (
             "availability", "hiring_compatibility", "behavioral_score", "mode_compatibility")]))
         .alias("recruitability"),
-    )
+    ]
+
+
+@fx.build_once
+def _final_score() -> Column:
     dims = {key: F.col(key) for key in DIMENSION_COLUMNS}
-    return fused.withColumn("score", fu.final_score(dims, F.col("weights")))
+    return fu.final_score(dims, F.col("weights")).alias("score")
+
+
+def score_rows(pairs: DataFrame) -> DataFrame:
+    """Sub-scores, the seven dimensions, the cheap score and the final score."""
+    return (pairs.select("*", *_sub_scores()).select("*", *_fused_scores())
+            .select("*", _final_score()))
 
 
 def score_bundle(facts: DataFrame, bundle: Bundle) -> DataFrame:
     return score_rows(pair_rows(match_terms(facts, bundle), bundle))
 
 
-def score_pairs(candidates: DataFrame, profiles: DataFrame, as_of: dt.date | str | Column,
+def score_pairs(candidates: DataFrame, profiles: DataFrame, as_of: dt.date | str,
                 max_bytes: int = MAX_BUNDLE_BYTES) -> DataFrame:
     """Every candidate against every job, with all features and scores."""
     facts = candidate_facts(candidates, as_of)

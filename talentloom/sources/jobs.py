@@ -59,18 +59,23 @@ def _sections(paragraphs: Column) -> Column:
         F.filter(runs, lambda r: r["name"] == n), F.lit(-1)))
 
 
-def structure_jobs(lines: DataFrame) -> DataFrame:
-    """From (jd_id, lines: array of text, styled) with folded text to structured job rows."""
+@fx.build_once
+def _paragraph_column() -> Column:
     squeezed = F.transform("lines", lambda p: F.struct(
         fx.squeeze_spaces(p["text"]).alias("text"), p["styled"].alias("styled")))
     kept = F.filter(squeezed, lambda p: p["text"] != "")
-    paragraphs = lines.select("jd_id", F.transform(
-        kept, lambda p: _paragraph(p["text"], p["styled"])).alias("paragraphs"))
-    split = paragraphs.select(
-        "jd_id", "paragraphs",
-        _sections(F.col("paragraphs")).alias("sections"),
-        F.array_join(F.transform("paragraphs", lambda p: p["text"]), "\n").alias("raw_text"),
-    )
+    return F.transform(kept, lambda p: _paragraph(p["text"], p["styled"])).alias("paragraphs")
+
+
+@fx.build_once
+def _section_columns() -> list[Column]:
+    return [_sections(F.col("paragraphs")).alias("sections"),
+            F.array_join(F.transform("paragraphs", lambda p: p["text"]), "\n").alias("raw_text")]
+
+
+def structure_jobs(lines: DataFrame) -> DataFrame:
+    """From (jd_id, lines: array of text, styled) with folded text to structured job rows."""
+    split = lines.select("jd_id", _paragraph_column()).select("*", *_section_columns())
     return split.select(
         "*",
         F.size("sections").alias("num_sections"),
