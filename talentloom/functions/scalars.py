@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,22 @@ def build_once(builder: Callable) -> Callable:
     return built
 
 
+def element_rows(df: DataFrame, array: str, *keep: str, pos: str = "pos", element: str = "element") -> DataFrame:
+    """One row per array element with its position (1 = first); no row for empty arrays.
+
+    The plain explode makes the optimizer infer a filter on the array, which it
+    pushes down by copying the array's whole expression into the predicate. The
+    outer form with a filter on the generated position computes the array once.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias("_pos", element)).where("_pos IS NOT NULL")
+    return rows.select(*keep, (F.col("_pos") + 1).alias(pos), element)
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Same rows, but filters above are not pushed into the expressions below."""
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+
+
 # -- coercion of VARIANT leaves ------------------------------------------------
 
 def _kind(leaf: Column) -> Column:

@@ -264,6 +264,5 @@ def hiring_profiles(jobs: DataFrame, patterns: Sequence[str] = S.COMPETENCY_PATT
 def competency_rows(profiles: DataFrame) -> DataFrame:
     """One row per (job, competency); ``ord`` counts within the category."""
     def rows(column: str) -> DataFrame:
-        return profiles.select("jd_id", F.posexplode(column).alias("_p", "_c")).select(
-            "jd_id", (F.col("_p") + 1).alias("ord"), "_c.*")
+        return fx.element_rows(profiles, column, "jd_id", pos="ord").select("jd_id", "ord", "element.*")
     return rows("required").unionByName(rows("preferred"))

@@ -32,8 +32,7 @@ def transitions(career: Column, levels: Column) -> Column:
 def transition_rows(prepared: DataFrame) -> DataFrame:
     """One row per move with its position (1 = most recent)."""
     moves = prepared.select("candidate_id", transitions(F.col("career_history"), F.col("levels")).alias("m"))
-    return moves.select("candidate_id", F.posexplode("m").alias("_p", "_m")).select(
-        "candidate_id", (F.col("_p") + 1).alias("pos"), "_m.*")
+    return fx.element_rows(moves, "m", "candidate_id").select("candidate_id", "pos", "element.*")
 
 
 def _share(values: Column, test) -> Column:

@@ -88,18 +88,17 @@ def top_competencies(profiles: DataFrame, n: int = 15) -> DataFrame:
     """First n required and preferred competencies of each job, with their band."""
     parts = []
     for column in ("required", "preferred"):
-        top = profiles.select("jd_id", F.posexplode(F.slice(column, 1, n)).alias("_p", "_c"))
+        top = fx.element_rows(profiles, column, "jd_id", pos="ord").where(F.col("ord") <= n)
         parts.append(top.select(
-            "jd_id", F.lit(column).alias("kind"), (F.col("_p") + 1).alias("ord"),
-            F.col("_c.name").alias("name"), F.col("_c.importance").alias("importance"),
-            fx.score_band(F.col("_c.importance")).alias("band")))
+            "jd_id", F.lit(column).alias("kind"), "ord", F.col("element.name").alias("name"),
+            F.col("element.importance").alias("importance"),
+            fx.score_band(F.col("element.importance")).alias("band")))
     return parts[0].unionByName(parts[1])
 
 
 def top_philosophy(profiles: DataFrame, n: int = 5) -> DataFrame:
-    top = profiles.select("jd_id", F.posexplode(F.slice("philosophy", 1, n)).alias("_p", "_d"))
-    return top.select("jd_id", (F.col("_p") + 1).alias("ord"), F.col("_d.dimension").alias("dimension"),
-                      F.col("_d.strength").alias("strength"))
+    top = fx.element_rows(profiles, "philosophy", "jd_id", pos="ord").where(F.col("ord") <= n)
+    return top.select("jd_id", "ord", "element.dimension", "element.strength")
 
 
 def weight_shares(profiles: DataFrame) -> DataFrame:

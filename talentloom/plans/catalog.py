@@ -123,8 +123,9 @@ def evidence_detail(spark, sf):
     found = None
     bundles = pp.job_bundles(_profiles(spark, sf))
     for bundle in bundles:
-        rows = pp.match_terms(facts, bundle).select("candidate_id", F.inline("evidence")).where(
-            "source_count > 0").drop("id", "jobs", "tested", "in_title", "matched")
+        matched = fx.element_rows(pp.match_terms(facts, bundle), "evidence", "candidate_id")
+        rows = matched.select("candidate_id", "element.*").where("source_count > 0").drop(
+            "id", "jobs", "tested", "in_title", "matched")
         found = rows if found is None else found.unionByName(rows)
     # Bundles may share terms; one bundle cannot repeat any.
     return tidy(found.distinct() if len(bundles) > 1 else found)
@@ -219,10 +220,10 @@ def behavior_fields(spark, sf):
 
 
 def seniority_and_size(spark, sf):
-    rows = _prepared(spark, sf).select(
-        "candidate_id", F.posexplode(F.arrays_zip("levels", "sizes")).alias("_p", "_z"))
-    return tidy(rows.select("candidate_id", (F.col("_p") + 1).alias("pos"), F.col("_z.levels").alias("level"),
-                            F.col("_z.sizes").alias("size_level")))
+    zipped = _prepared(spark, sf).select("candidate_id", F.arrays_zip("levels", "sizes").alias("z"))
+    return tidy(fx.element_rows(zipped, "z", "candidate_id").select(
+        "candidate_id", "pos", F.col("element.levels").alias("level"),
+        F.col("element.sizes").alias("size_level")))
 
 
 def career_transitions(spark, sf):
@@ -288,17 +289,18 @@ def jd_competencies(spark, sf):
 def jd_default_mentions(spark, sf):
     """The default pattern list over the raw documents."""
     docs = D.spread(D.table(spark, sf, "documents"))
-    found = jo.competency_mentions(F.lower("text"))
-    return tidy(docs.select("doc_id", F.explode(found).alias("skill")))
+    found = docs.select("doc_id", jo.competency_mentions(F.lower("text")).alias("found"))
+    return tidy(fx.element_rows(found, "found", "doc_id", element="skill").drop("pos"))
 
 
 def jd_priorities(spark, sf):
-    return tidy(_text_profiles(spark, sf).select("jd_id", F.inline("priorities")))
+    return tidy(fx.element_rows(
+        _text_profiles(spark, sf), "priorities", "jd_id").select("jd_id", "element.*"))
 
 
 def jd_concepts(spark, sf):
-    rows = _text_profiles(spark, sf).select("jd_id", F.posexplode("concepts").alias("_p", "c"))
-    return tidy(rows.select("jd_id", (F.col("_p") + 1).alias("ord"), "c.primary_term", "c.importance",
+    rows = fx.element_rows(_text_profiles(spark, sf), "concepts", "jd_id", pos="ord", element="c")
+    return tidy(rows.select("jd_id", "ord", "c.primary_term", "c.importance",
                             F.array_join("c.related_terms", ",").alias("related")))
 
 
@@ -307,7 +309,8 @@ def jd_philosophy(spark, sf):
 
 
 def jd_constraints(spark, sf):
-    return tidy(_text_profiles(spark, sf).select("jd_id", F.inline("constraints")))
+    return tidy(fx.element_rows(
+        _text_profiles(spark, sf), "constraints", "jd_id").select("jd_id", "element.*"))
 
 
 def jd_experience(spark, sf):
@@ -319,11 +322,12 @@ def jd_role(spark, sf):
 
 
 def jd_behavior(spark, sf):
-    return tidy(_text_profiles(spark, sf).select("jd_id", F.explode("behavior_expectations").alias("label")))
+    return tidy(fx.element_rows(
+        _text_profiles(spark, sf), "behavior_expectations", "jd_id", element="label").drop("pos"))
 
 
 def jd_disqualifiers(spark, sf):
-    rows = _text_profiles(spark, sf).select("jd_id", F.explode("disqualifiers").alias("context"))
+    rows = fx.element_rows(_text_profiles(spark, sf), "disqualifiers", "jd_id", element="context")
     return tidy(rows.groupBy("jd_id", "context").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -342,8 +346,8 @@ def _docs(spark, sf):
 
 
 def sentences(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.posexplode(fx.sentences(F.col("text"))).alias("_p", "sentence"))
-    return tidy(rows.select("doc_id", (F.col("_p") + 1).alias("pos"), "sentence"))
+    found = _docs(spark, sf).select("doc_id", fx.sentences(F.col("text")).alias("found"))
+    return tidy(fx.element_rows(found, "found", "doc_id", element="sentence"))
 
 
 def text_functions(spark, sf):

@@ -54,9 +54,12 @@ def _sections(paragraphs: Column) -> Column:
         )
 
     runs = F.filter(F.zip_with(starts, ends, run), lambda r: r["text"] != "")
-    names = F.array_distinct(F.transform(runs, lambda r: r["name"]))
-    return F.transform(names, lambda n: F.try_element_at(
-        F.filter(runs, lambda r: r["name"] == n), F.lit(-1)))
+    def last_of_each(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda r: r["name"]))
+        return F.transform(names, lambda n: F.try_element_at(
+            F.filter(found, lambda r: r["name"] == n), F.lit(-1)))
+
+    return fx.let(runs, last_of_each)
 
 
 @fx.build_once
@@ -94,15 +97,13 @@ def jobs_from_text(texts: DataFrame, id_col: str = "jd_id", text_col: str = "tex
 
 def job_paragraphs(jobs: DataFrame) -> DataFrame:
     """One row per paragraph with its position (1 = first)."""
-    return jobs.select("jd_id", F.posexplode("paragraphs").alias("_p", "_e")).select(
-        "jd_id", (F.col("_p") + 1).alias("pos"), "_e.*")
+    return fx.element_rows(jobs, "paragraphs", "jd_id").select("jd_id", "pos", "element.*")
 
 
 def job_sections(jobs: DataFrame) -> DataFrame:
     """One row per section with its position (1 = first)."""
-    return jobs.select("jd_id", F.posexplode("sections").alias("_p", "_e")).select(
-        "jd_id", (F.col("_p") + 1).alias("pos"), F.col("_e.name").alias("section"),
-        F.col("_e.text").alias("text"))
+    return fx.element_rows(jobs, "sections", "jd_id").select(
+        "jd_id", "pos", F.col("element.name").alias("section"), F.col("element.text").alias("text"))
 
 
 # -- .docx ---------------------------------------------------------------------
