@@ -283,7 +283,7 @@ evidence AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0, sourc
 PAIRS = f"""
 job_n AS (SELECT r.jd_id, count(c.name) AS n, count(c.name) FILTER (category = 'mandatory') AS n_req
   FROM raw r LEFT JOIN competency c USING (jd_id) GROUP BY r.jd_id),
-roll AS (SELECT jd_id, d, sum(confidence) AS conf, count(*) FILTER (sources > 0) AS covered, sum(sources) AS sources,
+roll AS (SELECT jd_id, d, sum(round(confidence * 20)) / 20.0::DOUBLE AS conf, count(*) FILTER (sources > 0) AS covered, sum(sources) AS sources,
     count(*) FILTER (confidence > 0.6) AS strong, count(*) FILTER (confidence < 0.3) AS weak, count(*) FILTER (matched) AS matched,
     string_agg(term, ',' ORDER BY category, ord) FILTER (sources = 0) AS unsupported,
     count(*) FILTER (in_title AND category = 'mandatory' AND ord <= 10) AS title_hits

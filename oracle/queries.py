@@ -169,7 +169,6 @@ def _text_functions() -> str:
 
 
 def oracle() -> dict[str, str]:
-    years = "CASE WHEN lvl_up THEN 1 END"  # noqa: F841
     texts = {
         "rank_topk": f"""{explained()} SELECT jd_id, candidate_id, rank, {SCORE6}, reasoning,
             'Ranking confidence: ' || {pct('confidence')} AS confidence FROM explained""",
@@ -196,7 +195,7 @@ def oracle() -> dict[str, str]:
         "top_report": f"""{ranked()} SELECT jd_id, rank, CAST({fixed('score', 4)} AS DOUBLE) AS score, substr(name, 1, 24) AS name,
             substr(title, 1, 34) AS title, CAST({fixed('years', 1)} AS DOUBLE) AS years FROM ranked WHERE rank <= 3""",
         "cheap_funnel": _funnel(),
-        "feature_vector": f"""{B.pairs()} SELECT jd_id, candidate_id, {r8(*[f'CAST({a} AS FLOAT) AS {b}' for a, b in (
+        "feature_vector": f"""{B.pairs()} SELECT jd_id, candidate_id, {r8(*[f'({a})::FLOAT AS {b}' for a, b in (
             ('p.years', 'years'), ('title_relevance', 'title_relevance'), ('skills_ratio', 'skills_ratio'),
             ('skill_coverage', 'skill_coverage'), ('assessment_avg', 'assessment_avg'), ('semantic', 'semantic'),
             ('response_rate', 'response_rate'), ('p.completeness / 100.0', 'completeness'))])},
@@ -210,7 +209,7 @@ def oracle() -> dict[str, str]:
         "skill_stats": _candidate(ints("total_skills", "coalesce(certs, 0) AS certification_count") + ", " + r8(
             "avg_proficiency", "avg_endorsements", "avg_skill_duration", "strong_ratio AS advanced_expert_ratio",
             "coalesce(assessment_avg, 0) AS assessment_score_avg"),
-            "skill_f USING (d) LEFT JOIN test_f USING (d) LEFT JOIN cert_f").replace("skill_f USING (d) LEFT", "skill_f USING (d) LEFT"),
+            "skill_f USING (d) LEFT JOIN test_f USING (d) LEFT JOIN cert_f"),
         "career_features": _candidate(ints("n_jobs AS total_companies", "total_months AS total_career_months",
                                            "current_months AS current_tenure_months") + ", "
                                       + r8("avg_tenure AS avg_tenure_months")

@@ -34,7 +34,7 @@ def competency_mentions(text_lc: Column, patterns: Sequence[str] = S.COMPETENCY_
     """Distinct trimmed matches of every pattern, longer than one character."""
     found = F.flatten(F.array(*[
         F.regexp_extract_all(text_lc, F.lit(f"(?i){p}"), F.lit(0)) for p in patterns]))
-    trimmed = F.transform(found, F.trim)
+    trimmed = F.transform(found, lambda s: F.trim(s))
     return F.array_distinct(F.filter(trimmed, lambda s: F.length(s) > 1))
 
 
