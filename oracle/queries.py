@@ -7,8 +7,7 @@ import re
 from oracle import base as B
 from oracle.base import q
 from talentloom import settings as S
-from talentloom.plans import derived as D
-from talentloom.plans.catalog import FUNNEL, K
+from talentloom.plans.catalog import DIGITS, FUNNEL, K, TIE_SHIFT
 from talentloom.operators.reports import SHORT_LABELS
 
 _DECIMAL = re.compile(r"(?<![\w.\]])(\d+\.\d+)(?![\w.:])")
@@ -26,7 +25,7 @@ def r8(*names: str) -> str:
     out = []
     for n in names:
         expr, _, alias = n.partition(" AS ")
-        out.append(f"round(CAST({expr} AS DOUBLE), 8) AS {alias or expr}")
+        out.append(f"round(CAST({expr} AS DOUBLE) + {TIE_SHIFT}, {DIGITS}) AS {alias or expr}")
     return ", ".join(out)
 
 

@@ -31,6 +31,7 @@ from talentloom.streaming import topk as sk
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
 DIGITS = 8
+TIE_SHIFT = 1e-11  # lifts exact decimal ties, which two engines may round either way
 FUNNEL = (300, 200, 100, 50, 10)
 
 
@@ -41,7 +42,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), DIGITS)
+            c = F.round(c.cast("double") + TIE_SHIFT, DIGITS)
         return c.alias(field.name)
     return df.select(*[plain(f) for f in df.schema])
 
