@@ -72,8 +72,7 @@ def _profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def _text_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Hiring profiles of one advert per document: job analysis at volume."""
-    texts = D.job_texts(D.spread(D.table(spark, sf, "documents")), "doc_id")
-    return jo.hiring_profiles(js.jobs_from_text(texts), D.PATTERNS)
+    return jo.hiring_profiles(_sections(spark, sf), D.PATTERNS)
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,7 +377,7 @@ def number_formats(spark, sf):
 
 def _event_lines(spark, sf) -> DataFrame:
     """JSON lines written from events; some are broken, blank, or of the wrong kind."""
-    e = D.table(spark, sf, "events")
+    e = D.spread(D.table(spark, sf, "events"))
     i, v = F.col("event_id"), F.col("value").cast("string")
     good = F.concat(
         F.lit('{"candidate_id":"E'), i.cast("string"), F.lit('","profile":{"headline":"'), F.col("event_type"),
