@@ -20,9 +20,9 @@ from talentloom.llm.common import id_crc, strings, text_batches
 
 UNKNOWN = "und"
 FEATURE_BITS = 18
-#: Bounds of the training sample: about so many labelled rows of each language, and so many runs of words in all.
-ROWS_PER_LANGUAGE = 600
-RUNS = 8000
+#: Bounds of the training sample: about so many labelled rows, so many of every language at least (if it has them), and
+#: so many runs of words in all.
+ROWS, ROWS_PER_LANGUAGE, RUNS = 2400, 150, 8000
 RUN_WORDS = 10
 _RUNS_JOINED = 2  # runs of different documents joined in one training sequence, so that switches occur
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -117,7 +117,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return out
 
 
-def fit(runs: list[tuple[list[str], str]], epochs: int = 6, batch: int = 200, rate: float = 0.3, decay: float = 1e-4,
+def fit(runs: list[tuple[list[str], str]], epochs: int = 8, batch: int = 200, rate: float = 0.1, decay: float = 1e-4,
         seed: int = 0) -> Model | None:
     """Maximum likelihood by AdaGrad on the expected counts of forward-backward. None without labelled words."""
     runs = [(w, x) for w, x in runs if w]
@@ -204,16 +204,19 @@ def predict(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarra
     return [model.labels[b] if c else UNKNOWN for b, c in zip(best, counts, strict=True)], np.clip(share, 0, 1), counts
 
 
-def train(docs: DataFrame, keep: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, runs: int = RUNS) -> Model | None:
-    """Fits on rows with a language (and ``keep``): a hash of the id draws about ``rows_per_language`` rows of each
-    language, whose whole texts are cut into runs of ten words; at most ``runs`` of these, drawn by hash, reach the
-    driver. Both bounds are independent of the size of the table."""
+def train(docs: DataFrame, keep: Column | None = None, rows: int = ROWS, rows_per_language: int = ROWS_PER_LANGUAGE,
+          runs: int = RUNS) -> Model | None:
+    """Fits on rows with a language (and ``keep``): a hash of the id draws about ``rows`` of them, and more of a language
+    that would have fewer than ``rows_per_language``. Their whole texts are cut into runs of ten words; at most ``runs``
+    of these, drawn by hash, reach the driver. All bounds are independent of the size of the table."""
     labelled = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     labelled = labelled if keep is None else labelled.filter(keep)
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / F.lit(float(1 << 53))
-    rows = (labelled.join(F.broadcast(sizes.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"))
-            .filter(draw < F.lit(float(rows_per_language)) / F.col("_n")).select("doc_id", "text", "lang"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    share = F.greatest(F.lit(rows / max(1, total)), F.lit(float(rows_per_language)) / F.col("_n"))
+    sample = (labelled.join(F.broadcast(sizes.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"))
+              .filter(draw < share).select("doc_id", "text", "lang"))
 
     def cut_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 64):
@@ -226,7 +229,7 @@ def train(docs: DataFrame, keep: Column | None = None, rows_per_language: int =
                 yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in (*([str(o[0]) for o in out],), *(
                     [o[k] for o in out] for k in (1, 2, 3)))], names=["id", "at", "run", "lang"])
 
-    cut = rows.mapInArrow(cut_runs, "id string, at long, run string, lang string")
+    cut = sample.mapInArrow(cut_runs, "id string, at long, run string, lang string")
     drawn = cut.orderBy(F.xxhash64(F.lit(23), "id", "at", "run"), "id", "at", "run", "lang").limit(runs).collect()
     return fit([(r["run"].split(), r["lang"]) for r in drawn])
 
@@ -257,7 +260,7 @@ def identify(docs: DataFrame) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score", "n_words"))
 
 
-def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def with_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` (all columns) with the rows whose text has a language that reaches a mean probability of ``least``."""
     model = train(docs, id_crc() % 5 != 0)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # the answer's columns must not clash with the table's

@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentloom.llm import crf, feistel, pivotal, simhash, tiling
+from talentloom.llm import crf, feistel, imatch, lattice, pivotal, private, ranking, simhash, suffixes, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_query(_table(spark, sf_dir, "documents"), lattice.session_vocabulary(spark))
+
+
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edits(_table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -22,6 +34,14 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_private(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,8 +61,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_string_tiling, op5_feistel_shards, op8_simhash_variants, op9_pivotal_mix,
-                                    op10_crf_language, pipeline)}
+    return {f.__name__: f for f in (op1_lattice_score, op2_imatch_fingerprints, op3_suffix_repeats, op4_string_tiling, op5_feistel_shards,
+                                    op6_pairwise_quality, op7_private_spans, op8_simhash_variants, op9_pivotal_mix, op10_crf_language, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
