@@ -308,7 +308,9 @@ entry_avg AS (SELECT jd_id, d, coalesce(list_reduce(list(least(1.0, early_hits *
     avg(least(1.0, domain_hits * 0.12::DOUBLE)) AS domain FROM entry_hit GROUP BY jd_id, d),
 vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sims AS (SELECT r.jd_id, p.d, coalesce(list_cosine_similarity(a.v, j.v), 0) AS summary_sim,
-    coalesce(list_cosine_similarity(list_reverse(a.v), j.v), 0) AS skills_sim
+    coalesce(list_cosine_similarity(list_reverse(a.v), j.v), 0) AS skills_sim,
+    coalesce(list_cosine_similarity(list_concat(a.v[2:], a.v[1:1]), j.v), 0) AS career_sim,
+    coalesce(-list_cosine_similarity(a.v, j.v), 0) AS headline_sim
   FROM raw r CROSS JOIN people p LEFT JOIN vec a ON a.vec_id = p.d LEFT JOIN vec j ON j.vec_id = r.jd_id),
 pair0 AS (SELECT r.jd_id, p.d, p.candidate_id, p.name, p.title, p.years, n, n_req, coalesce(matched, 0) AS matched,
     CASE WHEN n = 0 THEN 0 ELSE coalesce(matched, 0)::DOUBLE / n END AS skills_ratio,
@@ -322,8 +324,9 @@ pair0 AS (SELECT r.jd_id, p.d, p.candidate_id, p.name, p.title, p.years, n, n_re
     coalesce(relevant_assessment, 0) AS relevant_assessment, coalesce(relevant_months, 0) AS relevant_months,
     CASE WHEN n_jobs = 0 THEN 0.0 WHEN recent > older THEN {clip('0.5 + recent * 0.5')} ELSE {clip('0.3 + recent * 0.4')} END AS specialization,
     CASE WHEN n_jobs = 0 THEN 0.0 ELSE {clip('domain')} END AS domain,
-    summary_sim, skills_sim, (greatest(summary_sim, 0) + greatest(skills_sim, 0))
-      / greatest(1, (summary_sim > 0)::INT + (skills_sim > 0)::INT) AS semantic,
+    summary_sim, skills_sim, career_sim, headline_sim,
+    (greatest(summary_sim, 0) + greatest(career_sim, 0) + greatest(skills_sim, 0) + greatest(headline_sim, 0))
+      / greatest(1, (summary_sim > 0)::INT + (career_sim > 0)::INT + (skills_sim > 0)::INT + (headline_sim > 0)::INT) AS semantic,
     {clip("0.5 + CASE WHEN years BETWEEN coalesce(low, 0) AND max_years THEN 0.3 WHEN years >= coalesce(low, 0) * 0.8::DOUBLE THEN 0.15 ELSE 0 END + CASE WHEN (seniority_level = 'senior' AND " + seniority('p.title') + " >= 3) OR (seniority_level = 'mid' AND " + seniority('p.title') + " >= 2) THEN 0.2 ELSE 0 END")} AS hiring,
     {clip("0.5 + CASE WHEN role_mode = 'flexible' OR work_mode = 'flexible' THEN 0.25 WHEN role_mode = work_mode THEN 0.3 WHEN role_mode = 'remote' AND work_mode = 'hybrid' THEN 0.2 WHEN role_mode = 'hybrid' AND work_mode = 'remote' THEN 0.15 ELSE 0 END + CASE WHEN role_mode = 'onsite' AND relocates THEN 0.15 ELSE 0 END")} AS mode_fit,
     CASE WHEN years BETWEEN coalesce(low, 0) AND max_years THEN 0.15 WHEN years >= coalesce(low, 0) * 0.7::DOUBLE THEN 0.08 ELSE 0 END AS cheap_years,

@@ -152,6 +152,28 @@ def _sentences() -> str:
         unnest(range(1, len(p) + 1)) AS u(k)) WHERE s <> ''"""
 
 
+def _a_count(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, 'a', '')) + 1.0)"
+
+
+def _encoded() -> str:
+    """Cosines of (length, count of a + 1, 1) of four passages and the job text; an empty passage has no vector."""
+    def vector(text: str) -> str:
+        return f"[length({text})::DOUBLE, {_a_count(text)}::DOUBLE, 1.0::DOUBLE]"
+
+    names = ("summary", "career", "skills", "headline")
+    sims = ", ".join(f"CASE WHEN {n} = '' THEN 0 ELSE coalesce(list_cosine_similarity({vector(n)}, jv), 0) END AS {n}" for n in names)
+    mean = (f"({' + '.join(f'greatest({n}, 0)' for n in names)}) / greatest(1, {' + '.join(f'({n} > 0)::INT' for n in names)})")
+    return f"""{B.people(B.jobs_cte('benchmark', 'item_id'),
+        "ct AS (SELECT d, string_agg(title || ' at ' || company || ': ' || description, ' ' ORDER BY pos) FILTER (description <> '') AS txt FROM career GROUP BY d)",
+        "sn AS (SELECT d, string_agg(name, ', ' ORDER BY pos) FILTER (pos <= 30) AS names FROM (SELECT d, name, row_number() OVER (PARTITION BY d ORDER BY pos) AS pos FROM skills) GROUP BY d)",
+        "one AS (SELECT p.d, candidate_id, name, substr(summary, 1, 500) AS summary, substr(coalesce(txt, ''), 1, 500) AS career, coalesce(names, '') AS skills, headline FROM people p LEFT JOIN ct USING (d) LEFT JOIN sn USING (d))",
+        "two AS (SELECT * FROM one UNION ALL SELECT d, candidate_id, 'copy', 'a second record', career, skills, headline FROM one WHERE d % 1000 % 3 = 0)",
+        f"jv AS (SELECT jd_id, {vector('substr(raw_text, 1, 1000)')} AS jv FROM raw)",
+        f"sim AS (SELECT jd_id, candidate_id, name, {sims} FROM two CROSS JOIN jv)")}
+      SELECT jd_id, candidate_id, name, {r8(*names, mean + ' AS semantic_score')} FROM sim"""
+
+
 def _text_functions() -> str:
     norm = rf"trim(regexp_replace({B.nfkd('text')}, '\s+', ' ', 'g'))"
     short = """CASE WHEN length(text) <= 120 THEN text WHEN sp > 96 THEN substr(text, 1, sp) || '...'
@@ -176,13 +198,14 @@ def oracle() -> dict[str, str]:
             "skills_ratio", "skill_coverage", "title_relevance", "industry_relevance", "relevant_assessment")),
         "evidence_rollup": _pair(r8("evidence_score", "evidence_coverage", "evidence_density") + ", "
                                  + ints("strong_count", "weak_count") + ", unsupported"),
-        "evidence_detail": f"""{B.pairs()} SELECT candidate_id, term, in_skills, in_summary, in_career, in_cert AS in_certifications,
-            {r8('score AS assessment_score', 'confidence')}, {ints('months AS skill_months', 'endorsements', 'mentions AS career_mentions', 'sources AS source_count')}
-            FROM evidence JOIN people USING (d) WHERE sources > 0""",
+        "evidence_detail": f"""{ranked()} SELECT jd_id, r.candidate_id,
+            term, in_skills, in_summary, in_career, in_cert AS in_certifications,
+            {r8('e.score AS assessment_score', 'confidence')}, {ints('e.months AS skill_months', 'endorsements', 'mentions AS career_mentions', 'sources AS source_count')}
+            FROM ranked r JOIN competency c USING (jd_id) JOIN evidence e ON e.term = c.name AND e.d = r.d""",
         "narrative": _pair(r8("progression", "specialization", "growth", "domain", "career_narrative") + ", direction"),
         "recruitability": _pair(r8("availability", "hiring AS hiring_compatibility", "mode_fit AS mode_compatibility",
                                    "recruitability")),
-        "semantic_scores": _pair(r8("summary_sim AS summary_similarity", "skills_sim AS skills_similarity",
+        "semantic_scores": _pair(r8(*[f"{n}_sim AS {n}_similarity" for n in ("summary", "career", "skills", "headline")],
                                     "semantic AS semantic_score")),
         "ranking_metadata": f"""{explained()} SELECT jd_id, candidate_id, rank, {SCORE6}, name, title,
             {r8('years AS experience_years', 'confidence')}, dominant AS strengths FROM explained""",
@@ -197,8 +220,7 @@ def oracle() -> dict[str, str]:
         "feature_vector": f"""{B.pairs()} SELECT jd_id, candidate_id, {r8(*[f'({a})::FLOAT AS {b}' for a, b in (
             ('p.years', 'years'), ('title_relevance', 'title_relevance'), ('skills_ratio', 'skills_ratio'),
             ('skill_coverage', 'skill_coverage'), ('assessment_avg', 'assessment_avg'), ('semantic', 'semantic'),
-            ('response_rate', 'response_rate'), ('p.completeness / 100.0', 'completeness'))])},
-            CAST(0 AS DOUBLE) AS career_similarity FROM scored s JOIN people p USING (d, candidate_id)""",
+            ('response_rate', 'response_rate'), ('p.completeness / 100.0', 'completeness'), ('career_sim', 'career_similarity'))])} FROM scored s JOIN people p USING (d, candidate_id)""",
         "dedup_best": f"""SELECT user_id, arg_min(event_id, (-value, event_id)) AS event_id, {r8('max(value) AS value')}
             FROM events GROUP BY user_id""",
         "topk_per_group": f"""SELECT p_brand, p_partkey, {r8('p_retailprice')}, rank FROM (SELECT *, row_number() OVER (
@@ -300,8 +322,8 @@ def oracle() -> dict[str, str]:
         "cosine_to_label": f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
             h AS (SELECT label, arg_min(v, vec_id) AS v FROM e GROUP BY label)
             SELECT vec_id, {r8('list_cosine_similarity(e.v, h.v) AS cosine')} FROM e JOIN h USING (label)""",
-        "score_histogram": f"""{B.pairs()} SELECT CAST(CASE WHEN lo = hi THEN 0 ELSE least(floor((score - lo) / (hi - lo) * 20), 19) END AS BIGINT) AS bin,
-            count(*) AS n FROM scored, (SELECT min(score) AS lo, max(score) AS hi FROM scored) GROUP BY bin""",
+        "score_histogram": f"""{ranked()} SELECT CAST(CASE WHEN lo = hi THEN 0 ELSE least(floor((score - lo) / (hi - lo) * 20), 19) END AS BIGINT) AS bin,
+            count(*) AS n FROM ranked, (SELECT min(score) AS lo, max(score) AS hi FROM ranked) GROUP BY bin""",
         "score_bands": f"""{B.pairs()} SELECT CASE WHEN technical_alignment >= 0.7 THEN 'high' WHEN technical_alignment >= 0.4
             THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM scored GROUP BY band""",
         "ranking_table": f"{explained()} SELECT {_TABLE} FROM explained",
@@ -321,6 +343,30 @@ def oracle() -> dict[str, str]:
               SELECT event_type, user_id, max(value) AS value, arg_min(event_id, (-value, event_id)) AS event_id FROM events
               GROUP BY event_type, user_id)) WHERE rank <= {K}""",
         "stream_ranking": "",
+        "quantiles_by_group": f"""SELECT event_type, p, {r8('min(value) AS value')} FROM (SELECT event_type, value,
+            row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events
+            WHERE value IS NOT NULL), (SELECT unnest([0.1, 0.5, 0.9]) AS p) WHERE rn >= p * n GROUP BY event_type, p""",
+        "reject_counts": f"""{_ingest()} SELECT count(*) FILTER (outcome = 'ok') AS parsed, count(*) FILTER (outcome <> 'ok') AS errors,
+            count(*) FILTER (outcome = 'malformed') AS malformed FROM o WHERE outcome <> 'blank'""",
+        "ingest_array": """SELECT outcome, count(*) AS n FROM (
+            SELECT CASE WHEN event_id % 17 = 5 OR event_id % 23 = 7 THEN 'invalid' ELSE 'ok' END AS outcome FROM events
+            WHERE event_id // 1000 % 7 <> 3
+            UNION ALL SELECT 'malformed' FROM (SELECT DISTINCT event_id // 1000 AS f FROM events) WHERE f % 7 = 3) GROUP BY outcome""",
+        "ingest_kinds": """SELECT CASE WHEN event_id % 4 = 0 THEN 'D' ELSE 'K' END || event_id AS candidate_id,
+            CAST(event_id % 4 = 2 AS BIGINT) AS n_skills, CASE WHEN event_id % 4 = 2 THEN event_id + 3000000000 ELSE 0 END AS endorsements,
+            event_id % 4 = 3 AS odd, CASE WHEN event_id % 4 = 3 THEN ': NaN,' ELSE '' END AS headline FROM events""",
+        "encoded_scores": _encoded(),
+        "sentence_vectors": f"""WITH s AS ({_sentences()}) SELECT doc_id AS jd_id, pos, {r8('length(sentence) AS v0', _a_count('sentence') + ' AS v1', '1 AS v2')}
+            FROM s""",
+        "rank_with_copies": f"""{B.pairs()} SELECT jd_id, candidate_id, rank, {r8('score')} FROM (SELECT *, row_number() OVER (
+            PARTITION BY jd_id ORDER BY score DESC, candidate_id) AS rank FROM (SELECT jd_id, CASE WHEN d % 1000 % 3 = 0 THEN 'CAND_HOT'
+            ELSE candidate_id END AS candidate_id, max(score) AS score FROM scored GROUP BY ALL)) WHERE rank <= {K}""",
+        "csv_sink": f"""{explained()} SELECT jd_id, candidate_id, rank, {fixed('score', 6)} AS score, reasoning FROM explained""",
+        "explanations_sink": f"""{explained()} SELECT jd_id, candidate_id, rank, {SCORE6}, reasoning, trace AS decision_trace FROM explained""",
+        "metadata_sink": f"""{explained()} SELECT jd_id, candidate_id, rank, {SCORE6}, {r8('confidence')} FROM explained""",
+        "metrics_sink": f"""SELECT (SELECT count(*) FROM documents) AS total_candidates, CAST((SELECT count(*) FROM benchmark)
+            * least({K}, (SELECT count(*) FROM documents)) AS BIGINT) AS candidates_ranked, CAST(0 AS BIGINT) AS errors,
+            CAST(5 AS BIGINT) AS n_stages, true AS timed""",
     }
     texts["stream_stats"] = texts["running_stats"]
     texts["stream_keep_best"] = texts["dedup_best"]

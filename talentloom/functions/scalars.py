@@ -35,10 +35,13 @@ def build_once(builder: Callable) -> Callable:
 
     @functools.wraps(builder)
     def built(*args):
-        key = (id(SparkContext._gateway), args)
-        if key not in memo:
-            memo[key] = builder(*args)
-        return memo[key]
+        gateway = SparkContext._gateway
+        if memo.get("gateway") is not gateway:  # another JVM: its Columns are of no use
+            memo.clear()
+            memo["gateway"] = gateway
+        if args not in memo:
+            memo[args] = builder(*args)
+        return memo[args]
     return built
 
 
@@ -81,11 +84,12 @@ def variant_int(leaf: Column, default: int = 0) -> Column:
     text = F.try_variant_get(leaf, "$", "string")
     kind = _kind(leaf)
     parsed = (
-        F.when(kind == "STRING", F.when(text.rlike(_INT_TEXT), F.trim(text).try_cast("int")))
-        .when(kind == "BOOLEAN", F.try_variant_get(leaf, "$", "boolean").cast("int"))
-        .otherwise(F.try_variant_get(leaf, "$", "double").try_cast("int"))
+        F.when(kind == "STRING", F.when(text.rlike(_INT_TEXT), F.trim(text).try_cast("bigint")))
+        .when(kind == "BOOLEAN", F.try_variant_get(leaf, "$", "boolean").cast("bigint"))
+        .otherwise(F.coalesce(F.when(kind == "BIGINT", F.try_variant_get(leaf, "$", "bigint")),
+                             F.try_variant_get(leaf, "$", "double").try_cast("bigint")))
     )
-    return F.coalesce(parsed, F.lit(default))
+    return F.coalesce(parsed, F.lit(default).cast("bigint"))
 
 
 def variant_bool(leaf: Column, default: bool = False) -> Column:
@@ -102,14 +106,6 @@ def variant_str(leaf: Column, default: str | None = "") -> Column:
     return text if default is None else F.coalesce(text, F.lit(default))
 
 
-def to_float(text: Column, default: float = 0.0) -> Column:
-    return F.coalesce(text.try_cast("double"), F.lit(default))
-
-
-def to_int(text: Column, default: int = 0) -> Column:
-    return F.coalesce(F.when(text.rlike(_INT_TEXT), F.trim(text).try_cast("int")), F.lit(default))
-
-
 def to_list(values: Column, element_type: str) -> Column:
     """NULL lists become empty lists."""
     return F.coalesce(values, F.array().cast(f"array<{element_type}>"))

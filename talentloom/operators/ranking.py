@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from talentloom import settings as S
 from talentloom.functions import scalars as fx
 
-# Rows kept per job before copies are removed; beyond it copies are removed first.
-MAX_PRUNED_ROWS = 1_000_000
-
 
 def keep_best(rows: DataFrame, keys: Sequence[str], score: str, tie_break: Sequence[Column]) -> DataFrame:
     """Best row per key, ties by ``tie_break``.
@@ -45,21 +42,25 @@ def max_copies(ids: DataFrame, key: str = "candidate_id") -> int:
     return counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
-def rank_candidates(scored: DataFrame, k: int = S.DEFAULT_TOP_K, copies: int | None = None) -> DataFrame:
+def rank_candidates(scored: DataFrame, k: int = S.DEFAULT_TOP_K, copies: int | None = None,
+                    buckets: int | None = None) -> DataFrame:
     """Best k distinct candidates per job with ``rank``, ties by candidate id.
 
-    If no id has more than ``copies`` rows, the k best ids of a job lie within its
-    first k * copies rows, so that many rows per job survive the local prune and
-    nothing else is shuffled. Without a useful bound, copies are removed first.
+    Two levels, whatever the sizes. A job's rows are dealt into ``buckets`` by a hash of
+    the candidate id (by default as many as there are shuffle partitions); each bucket
+    keeps the best row per id and then k ids. Only buckets * k rows of a job meet on the
+    second level. If no id has more than ``copies`` rows, the k best ids of a bucket lie
+    within its first k * copies rows, and every task prunes to those before the shuffle.
     """
-    ties = [F.asc("candidate_id"), F.asc("row_hash")]
-    if copies is not None and 0 < copies * k <= MAX_PRUNED_ROWS:
-        rows = top_k(scored, k * copies, "score", ties, ["jd_id"], "_pos").drop("_pos")
-        if copies > 1:
-            rows = keep_best(rows, ["jd_id", "candidate_id"], "score", [F.asc("row_hash")])
-    else:
-        rows = keep_best(scored, ["jd_id", "candidate_id"], "score", [F.asc("row_hash")])
-    return top_k(rows, k, "score", [F.asc("candidate_id")], ["jd_id"])
+    buckets = buckets or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["jd_id", "_bucket"]
+    rows = scored.withColumn("_bucket", F.pmod(F.xxhash64("candidate_id"), F.lit(buckets)).cast("int"))
+    if copies:
+        rows = top_k(rows, k * copies, "score", [F.asc("candidate_id"), F.asc("row_hash")], keys, "_pos").drop("_pos")
+    if copies != 1:
+        rows = keep_best(rows, [*keys, "candidate_id"], "score", [F.asc("row_hash")])
+        rows = top_k(rows, k, "score", [F.asc("candidate_id")], keys, "_pos").drop("_pos")
+    return top_k(rows.drop("_bucket"), k, "score", [F.asc("candidate_id")], ["jd_id"])
 
 
 def funnel(scored: DataFrame, cutoffs: Sequence[int] = S.FUNNEL_CUTOFFS) -> DataFrame:

@@ -86,14 +86,13 @@ def band_counts(df: DataFrame, score: str) -> DataFrame:
 
 def top_competencies(profiles: DataFrame, n: int = 15) -> DataFrame:
     """First n required and preferred competencies of each job, with their band."""
-    parts = []
-    for column in ("required", "preferred"):
-        top = fx.element_rows(profiles, column, "jd_id", pos="ord").where(F.col("ord") <= n)
-        parts.append(top.select(
-            "jd_id", F.lit(column).alias("kind"), "ord", F.col("element.name").alias("name"),
-            F.col("element.importance").alias("importance"),
-            fx.score_band(F.col("element.importance")).alias("band")))
-    return parts[0].unionByName(parts[1])
+    def first(column: str) -> Column:
+        return F.transform(F.slice(column, 1, n), lambda c, i: F.struct(
+            F.lit(column).alias("kind"), (i + 1).alias("ord"), c["name"].alias("name"),
+            c["importance"].alias("importance")))
+    both = profiles.select("jd_id", F.concat(first("required"), first("preferred")).alias("all"))
+    rows = fx.element_rows(both, "all", "jd_id").select("jd_id", "element.*")
+    return rows.withColumn("band", fx.score_band(F.col("importance")))
 
 
 def top_philosophy(profiles: DataFrame, n: int = 5) -> DataFrame:
@@ -104,9 +103,3 @@ def top_philosophy(profiles: DataFrame, n: int = 5) -> DataFrame:
 def weight_shares(profiles: DataFrame) -> DataFrame:
     pairs = ", ".join(f"'{label}', weights.{key}" for key, label, _ in S.DIMENSIONS)
     return profiles.select("jd_id", F.expr(f"stack({len(S.DIMENSIONS)}, {pairs}) AS (dimension, share)"))
-
-
-def best_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First n rows of every group, numbered; each task prunes before the shuffle."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)

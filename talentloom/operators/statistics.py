@@ -12,40 +12,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BINS = 4096
 _MAX_COLLECTED = 100_000
 _SPLITS = 256
+_ACCURACY = 10_000
 
 
-def _values_at(df: DataFrame, column: str, ranks: Sequence[int], low: float, high: float) -> dict[int, float]:
-    """Exact values at 0-based sorted positions, by narrowing histogram brackets."""
-    if low == high:
-        return dict.fromkeys(ranks, low)
-    x = F.col(column)
-    width = (high - low) / _BINS
-    bin_of = F.least(F.floor((x - low) / width), F.lit(_BINS - 1)).cast("int")
-    counts = df.groupBy(bin_of.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-    found, below = {}, 0
-    for row in sorted(counts.collect(), key=lambda r: r["b"]):
-        inside = [r - below for r in ranks if below <= r < below + row["n"]]
-        if inside:
-            part = df.where((x >= row["lo"]) & (x <= row["hi"]))
-            if row["n"] <= _MAX_COLLECTED or row["lo"] == row["hi"]:
-                values = _counted_values(part, x, inside)
-            else:
-                values = _values_at(part, column, inside, row["lo"], row["hi"])
-            found.update({rank + below: value for rank, value in values.items()})
-        below += row["n"]
-    return found
-
-
-def _counted_values(part: DataFrame, x: Column, ranks: Sequence[int]) -> dict[int, float]:
-    found, below = {}, 0
-    for row in part.groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect():
-        found.update({r: row["v"] for r in ranks if below <= r < below + row["n"]})
-        below += row["n"]
-    return found
+def _value_at(values: DataFrame, rank: int, size: int) -> float:
+    """Exact value at a 0-based sorted position of the column ``x``.
+
+    A sketch gives two values around the rank; counting what lies below and between
+    them either leaves few distinct values, which are fetched with their counts, or a
+    narrower table for the next round. Brackets are values of the column, so infinities
+    and skewed scales need no special treatment.
+    """
+    x, below, part, margin = F.col("x"), 0, values, 2.0 / _ACCURACY
+    while True:
+        low_p, high_p = max(0.0, (rank - below) / size - margin), min(1.0, (rank - below + 1) / size + margin)
+        low, high = part.select(F.percentile_approx(x, [low_p, high_p], _ACCURACY)).first()[0]
+        under, n = part.agg(F.count_if(x < low), F.count_if((x >= low) & (x <= high))).first()
+        if not under <= rank - below < under + n:
+            margin *= 4  # the sketch missed; at the end the bracket is the whole part
+            continue
+        inside = part.where((x >= low) & (x <= high))
+        if n <= _MAX_COLLECTED or n == size or low == high:
+            seen = below + under
+            # sorted by ranges; the driver holds one range at a time and stops at the rank
+            for found in inside.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x").toLocalIterator():
+                if rank < seen + found["n"]:
+                    return found["x"]
+                seen += found["n"]
+        below, size, part, margin = below + under, n, inside, 2.0 / _ACCURACY
+
+
+def quantiles_by_group(df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float],
+                       accuracy: int = 100_000) -> DataFrame:
+    """Approximate quantiles of each group, one sketch per group and task: (keys, p, value)."""
+    sketched = df.groupBy(*keys).agg(F.percentile_approx(
+        F.col(column).cast("double"), list(probabilities), accuracy).alias("_v"))
+    zipped = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probabilities]).alias("p"), F.col("_v").alias("value"))
+    return sketched.select(*keys, F.inline(zipped).alias("p", "value"))
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
@@ -56,8 +61,12 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         return [None] * len(probabilities)
     spots = [p * (size["n"] - 1) for p in probabilities]
     ranks = sorted({r for s in spots for r in (int(s), min(int(s) + 1, size["n"] - 1))})
-    at = _values_at(values, "x", ranks, size["lo"], size["hi"])
-    return [at[int(s)] + (at[min(int(s) + 1, size["n"] - 1)] - at[int(s)]) * (s - int(s)) for s in spots]
+    at = {r: size["lo"] if size["lo"] == size["hi"] else _value_at(values, r, size["n"]) for r in ranks}
+
+    def between(spot: float) -> float:
+        low, high = at[int(spot)], at[min(int(spot) + 1, size["n"] - 1)]
+        return low if low == high or spot == int(spot) else low + (high - low) * (spot - int(spot))
+    return [between(spot) for spot in spots]
 
 
 def normalize(df: DataFrame, column: str, strategy: str = "robust", output: str = "normalized") -> DataFrame:

@@ -67,27 +67,46 @@ def encode(texts: DataFrame, keys: Sequence[str], texts_col: str, make_encoder:
     return source.mapInPandas(run, f"{fields}, `{output}` array<array<double>>")
 
 
+def encoded(texts: Column, make_encoder: Callable[[], Encoder], batch_texts: int = 256) -> Column:
+    """Vectors of an array<string> column, in the row: copies of an id keep their own texts, nothing is joined.
+
+    ``make_encoder`` runs once per task; empty texts give a NULL vector at their place.
+    """
+    @F.pandas_udf("array<array<double>>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = make_encoder()
+        for batch in batches:
+            flat = [t for row in batch for t in row if t]
+            found: list = []
+            for start in range(0, len(flat), batch_texts):
+                found.extend(np.asarray(encoder(flat[start:start + batch_texts]), dtype=float))
+            ready = iter(found)
+            yield pd.Series([[next(ready) if t else None for t in row] for row in batch])
+
+    return vectors(texts)
+
+
+def unit_rows(vectors: Column) -> Column:
+    """Every vector of an array scaled to length 1; NULL stays NULL."""
+    return F.transform(vectors, unit)
+
+
 def job_sentences(jobs: DataFrame) -> DataFrame:
     """Sentences of each job text, in order, for encoding."""
     return jobs.select("jd_id", fx.sentences(F.col("raw_text")).alias("texts"))
 
 
-def job_passages(jobs: DataFrame) -> DataFrame:
-    return jobs.select("jd_id", F.array(F.substring("raw_text", 1, 1000)).alias("texts"))
+def job_passages() -> Column:
+    return F.array(F.substring("raw_text", 1, 1000))
 
 
-def candidate_passages(candidates: DataFrame) -> DataFrame:
+def candidate_passages() -> Column:
     """Texts to compare with a job, in fixed order: summary, career, skills, headline."""
-    return candidates.select("candidate_id", F.array(
+    return F.array(
         F.substring(F.col("profile.summary"), 1, 500),
         F.substring(career_text(F.col("career_history")), 1, 500),
         F.array_join(F.slice(skill_names(F.col("skills")), 1, 30), ", "),
-        F.col("profile.headline"),
-    ).alias("texts"))
-
-
-def unit_vectors(encoded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return encoded.select(*keys, F.transform("vectors", unit).alias("vectors"))
+        F.col("profile.headline"))
 
 
 def semantic_scores(vectors: Column, job_vector: Column) -> Column:

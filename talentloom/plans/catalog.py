@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +24,11 @@ from talentloom.operators import statistics as st
 from talentloom.operators import vectors as ve
 from talentloom.plans import derived as D
 from talentloom.plans import pairs as pp
+from talentloom.plans import pipeline
 from talentloom.plans.storage import shared_folder
 from talentloom.sources import candidates as cs
 from talentloom.sources import jobs as js
+from talentloom.sources import sinks
 from talentloom.streaming import topk as sk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,12 +53,14 @@ def tidy(df: DataFrame) -> DataFrame:
 # -- shared inputs -------------------------------------------------------------------
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with two embedded passages: the vector of their id, and its reverse."""
+    """Candidates with four embedded passages made of the vector of their id: as it is, turned by one place,
+    reversed, and negated."""
     vectors = D.table(spark, sf, "embeddings").select("vec_id", "embedding")
     ids = F.concat(F.lit("CAND_"), F.format_string("%012d", F.col("vec_id")))
-    none = F.lit(None).cast("array<double>")
+    u = F.col("_u")
+    turned = F.concat(F.slice(u, 2, F.size(u)), F.slice(u, 1, 1))
     passages = vectors.select(ids.alias("candidate_id"), ve.unit(F.col("embedding")).alias("_u")).select(
-        "candidate_id", F.array(F.col("_u"), none, F.reverse("_u"), none).alias("vectors"))
+        "candidate_id", F.array(u, turned, F.reverse(u), F.transform(u, lambda x: -x)).alias("vectors"))
     return D.candidates(spark, sf).join(passages, "candidate_id", "left")
 
 
@@ -87,9 +92,19 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return pp.score_pairs(_candidates(spark, sf), _profiles(spark, sf), D.AS_OF)
 
 
+def _copies(spark: SparkSession, sf: str) -> int:
+    return rk.max_copies(D.table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
 def _ranked(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
-    copies = rk.max_copies(D.table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return rk.rank_candidates(_scored(spark, sf), k, copies)
+    return rk.rank_candidates(_scored(spark, sf), k, _copies(spark, sf))
+
+
+def _kept(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows from a table written once, for queries that read them more than once."""
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _pair(spark: SparkSession, sf: str, *columns) -> DataFrame:
@@ -119,16 +134,11 @@ def evidence_rollup(spark, sf):
 
 
 def evidence_detail(spark, sf):
-    facts = _facts(spark, sf)
-    found = None
-    bundles = pp.job_bundles(_profiles(spark, sf))
-    for bundle in bundles:
-        matched = fx.element_rows(pp.match_terms(facts, bundle), "evidence", "candidate_id")
-        rows = matched.select("candidate_id", "element.*").where("source_count > 0").drop(
-            "id", "jobs", "tested", "in_title", "matched")
-        found = rows if found is None else found.unionByName(rows)
-    # Bundles may share terms; one bundle cannot repeat any.
-    return tidy(found.distinct() if len(bundles) > 1 else found)
+    """Evidence of every competency for the ranked candidates, also where there is none."""
+    rows = _scored(spark, sf).select("jd_id", "candidate_id", "row_hash", "score", "evidence_rows")
+    ranked = rk.rank_candidates(rows, K, _copies(spark, sf))
+    found = fx.element_rows(ranked, "evidence_rows", "jd_id", "candidate_id").select("jd_id", "candidate_id", "element.*")
+    return tidy(found.drop("id", "jobs", "tested", "in_title", "matched"))
 
 
 def narrative(spark, sf):
@@ -141,8 +151,8 @@ def recruitability(spark, sf):
 
 
 def semantic_scores(spark, sf):
-    return _pair(spark, sf, F.col("sim.summary_similarity").alias("summary_similarity"),
-                 F.col("sim.skills_similarity").alias("skills_similarity"), "semantic_score")
+    return _pair(spark, sf, *[F.col(f"sim.{n}_similarity").alias(f"{n}_similarity") for n in
+                              ("summary", "career", "skills", "headline")], "semantic_score")
 
 
 def ranking_metadata(spark, sf):
@@ -159,7 +169,7 @@ def explanations(spark, sf):
 
 
 def reasoning_lookup(spark, sf):
-    ranked = _ranked(spark, sf)
+    ranked = _kept(_ranked(spark, sf), "ranked")
     return tidy(rk.reasoning_for(ranked, rk.explain(ranked).where("rank <= 5")).select(
         "jd_id", "candidate_id", "rank", "reasoning"))
 
@@ -180,7 +190,7 @@ def feature_vector(spark, sf):
         spark, sf, single(F.col("years"), "years"), single(F.col("title_relevance"), "title_relevance"),
         single(F.col("skills_ratio"), "skills_ratio"), single(F.col("skill_coverage"), "skill_coverage"),
         single(F.col("skill.assessment_score_avg"), "assessment_avg"),
-        F.lit(0.0).alias("career_similarity"), single(F.col("semantic_score"), "semantic"),
+        single(F.col("sim.career_similarity"), "career_similarity"), single(F.col("semantic_score"), "semantic"),
         single(F.col("response_rate"), "response_rate"),
         single(F.col("completeness") / 100.0, "completeness"))
 
@@ -410,6 +420,110 @@ def ingest_rejects(spark, sf):
         F.count(F.lit(1)).alias("n")))
 
 
+def reject_counts(spark, sf):
+    """Parsed and error counts, observed on the scan while it is written."""
+    counts = Observation("ingest")
+    parsed = cs.observe_ingest(cs.parse_candidates(_event_lines(spark, sf)), counts)
+    parsed.select("candidate_id").write.format("noop").mode("overwrite").save()
+    found = counts.get
+    return tidy(spark.createDataFrame([(found["parsed"], found["errors"], found["malformed"])],
+                                      "parsed long, errors long, malformed long"))
+
+
+def ingest_array(spark, sf):
+    """JSON arrays of up to 1000 events; every seventh file lacks its closing bracket."""
+    e = D.table(spark, sf, "events")
+    i = F.col("event_id")
+    record = (F.when(i % 17 == 5, F.lit('{"candidate_id":""}')).when(i % 23 == 7, F.lit("7"))
+              .otherwise(F.concat(F.lit('{"candidate_id":"E'), i.cast("string"), F.lit('"}'))))
+    file = F.floor(i / 1000)
+    texts = e.groupBy(file.alias("file")).agg(F.array_join(F.collect_list(record), ",").alias("all")).select(
+        F.concat(F.lit("["), F.col("all"), F.when(F.col("file") % 7 == 3, "").otherwise("]")).alias("value"), "file")
+    folder = shared_folder(spark, "ingest-array")
+    texts.write.partitionBy("file").text(folder)
+    parsed = cs.parse_candidates(cs.scan_candidates(spark, f"{folder}/*", "json"))
+    return tidy(parsed.groupBy(F.coalesce("_reject", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def ingest_kinds(spark, sf):
+    """Equal keys, lists of the wrong kind, integers beyond 32 bits, and NaN."""
+    e = D.spread(D.table(spark, sf, "events"))
+    i = F.col("event_id")
+    rest = (F.when(i % 4 == 0, F.concat(F.lit(',"candidate_id":"D'), i.cast("string"), F.lit('"')))
+            .when(i % 4 == 1, F.lit(',"skills":"x"'))
+            .when(i % 4 == 2, F.concat(F.lit(',"skills":[{"endorsements":'), (i + 3_000_000_000).cast("string"), F.lit("}]")))
+            .otherwise(F.lit(',"profile":{"years_of_experience": NaN, "headline":": NaN,"}')))
+    lines = e.select(F.concat(F.lit('{"candidate_id":"K'), i.cast("string"), F.lit('"'), rest, F.lit("}")).alias("value"))
+    good = cs.accepted(cs.parse_candidates(lines))
+    return tidy(good.select("candidate_id", F.size("skills").alias("n_skills"),
+                            F.coalesce(F.get("skills", F.lit(0))["endorsements"], F.lit(0)).alias("endorsements"),
+                            F.isnan("profile.years_of_experience").alias("odd"),
+                            F.col("profile.headline").alias("headline")))
+
+
+# -- encoders, copies and sinks --------------------------------------------------------------
+
+def _arithmetic_encoder():
+    return lambda texts: np.array([[len(t), t.count("a") + 1.0, 1.0] for t in texts])
+
+
+def encoded_scores(spark, sf):
+    """Semantic scores from an encoder that SQL can repeat; every third id has a second record with its own passages."""
+    c = D.candidates(spark, sf)
+    copy = c.where(F.substring("candidate_id", -3, 3).cast("int") % 3 == 0).withColumn("profile", F.col("profile").withField(
+        "summary", F.lit("a second record")).withField("anonymized_name", F.lit("copy")))
+    people = pipeline.with_vectors(c.unionByName(copy), _arithmetic_encoder)
+    jobs = jo.hiring_profiles(_job_rows(spark, sf, "benchmark", "item_id"), D.PATTERNS)
+    scored = pp.score_pairs(people, pipeline.with_job_vectors(jobs, _arithmetic_encoder), D.AS_OF)
+    return tidy(scored.select("jd_id", "candidate_id", "name", *[F.col(f"sim.{n}_similarity").alias(n) for n in
+                              ("summary", "career", "skills", "headline")], "semantic_score"))
+
+
+def sentence_vectors(spark, sf):
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("jd_id"), F.col("text").alias("raw_text"))
+    vectors = ve.encode(ve.job_sentences(docs), ["jd_id"], "texts", _arithmetic_encoder)
+    rows = fx.element_rows(vectors, "vectors", "jd_id", element="v")
+    return tidy(rows.select("jd_id", "pos", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(3)]))
+
+
+def rank_with_copies(spark, sf):
+    """A third of all records share one id; their best record stands for it."""
+    hot = F.when(F.substring("candidate_id", -3, 3).cast("int") % 3 == 0, F.lit("CAND_HOT")).otherwise(F.col("candidate_id"))
+    ranked = rk.rank_candidates(_scored(spark, sf).withColumn("candidate_id", hot), K)
+    return tidy(ranked.select("jd_id", "candidate_id", "rank", "score"))
+
+
+def csv_sink(spark, sf):
+    path = shared_folder(spark, "csv-sink")
+    sinks.write_ranked_csv(rk.explain(_ranked(spark, sf)), path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return tidy(rows.select(F.col("jd_id").cast("long"), "candidate_id", F.col("rank").cast("long"), "score", "reasoning"))
+
+
+def explanations_sink(spark, sf):
+    path = shared_folder(spark, "explanations-sink")
+    sinks.write_explanations(rk.explain(_ranked(spark, sf)), path)
+    return tidy(spark.read.json(path).select(
+        F.col("jd_id").cast("long"), "candidate_id", "rank", "score", "reasoning",
+        F.array_join("decision_trace", "; ").alias("decision_trace")))
+
+
+def metadata_sink(spark, sf):
+    path = shared_folder(spark, "metadata-sink")
+    sinks.write_ranking_metadata(rk.ranking_metadata(_ranked(spark, sf)), path)
+    return tidy(spark.read.json(path).select(F.col("jd_id").cast("long"), "candidate_id", "rank", "score", "confidence"))
+
+
+def metrics_sink(spark, sf):
+    path = shared_folder(spark, "metrics-sink")
+    result = pipeline.run(spark, _job_rows(spark, sf, "benchmark", "item_id"), cs.parse_candidates(_candidates_json(spark, sf)),
+                          path, D.AS_OF, K)
+    read = spark.read.json(f"{path}/run_metrics")
+    return tidy(read.select("total_candidates", "candidates_ranked", "errors",
+                            F.size("stages").alias("n_stages")).crossJoin(result.metrics.select(
+                                (F.col("runtime_seconds") > 0).alias("timed"))))
+
+
 # -- statistics --------------------------------------------------------------------------
 
 def _prices(spark, sf):
@@ -440,6 +554,10 @@ def corpus_z_scores(spark, sf):
     return tidy(st.corpus_z_scores(_facts(spark, sf)))
 
 
+def quantiles_by_group(spark, sf):
+    return tidy(st.quantiles_by_group(D.table(spark, sf, "events"), ["event_type"], "value", (0.1, 0.5, 0.9)))
+
+
 def quantiles(spark, sf):
     events = D.table(spark, sf, "events")
     probs = (0.05, 0.25, 0.5, 0.75, 0.99)
@@ -461,7 +579,7 @@ def cosine_to_label(spark, sf):
 # -- reports --------------------------------------------------------------------------------
 
 def score_histogram(spark, sf):
-    return tidy(rp.score_histogram(_scored(spark, sf)))
+    return tidy(rp.score_histogram(_kept(_ranked(spark, sf), "ranked")))
 
 
 def score_bands(spark, sf):
@@ -489,21 +607,22 @@ def candidate_card(spark, sf):
 
 
 def headline_metrics(spark, sf):
-    return tidy(rp.headline_metrics(D.candidates(spark, sf), _ranked(spark, sf), 2.0))
+    return tidy(rp.headline_metrics(D.candidates(spark, sf), _kept(_ranked(spark, sf), "ranked"), 2.0))
 
 
 # -- streams ----------------------------------------------------------------------------------
 
-def _event_stream(spark, sf) -> DataFrame:
-    schema = D.table(spark, sf, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf))
+def _event_stream(spark, sf, base: str) -> DataFrame:
+    """Events from several files, one per micro-batch."""
+    events = D.table(spark, sf, "events")
+    events.repartition(4, "event_id").write.parquet(f"{base}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
 
 
 def stream_topk(spark, sf):
     base = shared_folder(spark, "stream-topk")
     store = sk.TopKStore(spark, f"{base}/store")
-    rows = _event_stream(spark, sf).select("event_type", "user_id", "event_id", "value")
+    rows = _event_stream(spark, sf, base).select("event_type", "user_id", "event_id", "value")
     sk.stream_top_k(rows, store, f"{base}/checkpoint", K, ["event_type"], "user_id", "value",
                     [F.asc("event_id")]).awaitTermination()
     return tidy(store.latest())
@@ -511,14 +630,14 @@ def stream_topk(spark, sf):
 
 def stream_stats(spark, sf):
     base = shared_folder(spark, "stream-stats")
-    totals = sk.running_statistics(_event_stream(spark, sf), ["event_type"], "value")
+    totals = sk.running_statistics(_event_stream(spark, sf, base), ["event_type"], "value")
     sk.write_versions(totals, f"{base}/out", f"{base}/checkpoint", "complete").awaitTermination()
     return tidy(sk.TopKStore(spark, f"{base}/out").latest())
 
 
 def stream_keep_best(spark, sf):
     base = shared_folder(spark, "stream-best")
-    best = sk.keep_best(_event_stream(spark, sf), "user_id", "value", ["event_id"])
+    best = sk.keep_best(_event_stream(spark, sf, base), "user_id", "value", ["event_id"])
     sk.write_versions(best, f"{base}/out", f"{base}/checkpoint", "complete").awaitTermination()
     return tidy(sk.TopKStore(spark, f"{base}/out").latest())
 
@@ -554,6 +673,8 @@ NAMES = (
     "jd_top_competencies", "sentences", "text_functions", "number_formats", "ingest_jsonl",
     "ingest_rejects", "normalize_robust", "normalize_minmax", "normalize_standard",
     "percentile_rank", "running_stats", "corpus_z_scores", "quantiles", "cosine_to_label",
+    "quantiles_by_group", "reject_counts", "ingest_array", "ingest_kinds", "encoded_scores",
+    "sentence_vectors", "rank_with_copies", "csv_sink", "explanations_sink", "metadata_sink", "metrics_sink",
     "score_histogram", "score_bands", "ranking_table", "search_filter", "dims_long",
     "contrib_matrix", "candidate_card", "headline_metrics", "stream_topk", "stream_stats",
     "stream_keep_best", "stream_ranking",

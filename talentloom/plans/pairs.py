@@ -5,8 +5,8 @@ Layers, from cheap to dear:
 2. ``match_terms``       once per candidate, against the vocabulary of all jobs;
 3. ``score_pairs``       per (job, candidate): sums over term ids and arithmetic.
 
-The job side is one bounded row (``job_bundle``) that is broadcast; its size is
-measured first and larger job sets are cut into several bundles.
+The job side is broadcast: one row with the vocabulary for matching, and one row per
+job for scoring. Its size is measured first; larger job sets are cut into bundles.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentloom import settings as S
 from talentloom.functions import scalars as fx
@@ -173,9 +174,10 @@ def job_bundle(views: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bundle:
-    """One broadcastable row of jobs and the mask widths its expressions unroll to."""
+    """A vocabulary row, the jobs as rows, and the mask widths their expressions unroll to."""
 
     row: DataFrame
+    jobs: DataFrame
     term_chunks: int
     word_chunks: int
 
@@ -199,8 +201,13 @@ def job_bundles(profiles: DataFrame, max_bytes: int = MAX_BUNDLE_BYTES,
     for i in range(parts):
         bundle = job_bundle(views if parts == 1 else views.where(slot == i))
         row = bundle.first()
-        local = profiles.sparkSession.createDataFrame([row], bundle.schema)
-        bundles.append(Bundle(local, row["term_chunks"], row["word_chunks"]))
+        session, kinds = profiles.sparkSession, {f.name: f.dataType for f in bundle.schema}
+        words = ["terms", "words", "term_chunks", "word_chunks"]
+        local = session.createDataFrame([tuple(row[c] for c in words)],
+                                        T.StructType([T.StructField(c, kinds[c]) for c in words]))
+        jobs = session.createDataFrame([(j,) for j in row["jobs"]],
+                                       T.StructType([T.StructField("job", kinds["jobs"].elementType)]))
+        bundles.append(Bundle(local, jobs, row["term_chunks"], row["word_chunks"]))
     return bundles
 
 
@@ -211,7 +218,7 @@ _MATCH_HELPERS = (
     "career_lc", "skill_names_lc", "skills_text", "tests_text", "entries_text", "words",
     "term_chunks", "word_chunks",
 )
-_PAIR_HELPERS = ("jobs", "evidence", "masks", "entry_masks", "vectors", "industry_lc", "assessments",
+_PAIR_HELPERS = ("evidence", "masks", "entry_masks", "vectors", "industry_lc", "assessments",
                  "months", "terms")
 
 
@@ -255,6 +262,7 @@ def _pair_columns(term_chunks: int, word_chunks: int) -> list[Column]:
         "relevant_assessment": F.when(
             F.col("skill.total_skills") > 0,
             ev.relevant_assessment(F.col("assessments"), picked("required_ids"))).otherwise(0.0),
+        "evidence_rows": picked("term_ids"),
         "unsupported_terms": ev.unsupported(F.col("terms"), picked("term_ids"), job["term_ids"]),
         "first_hits": ev.hits_per_entry(F.col("entry_masks"), job["first_words"], word_chunks),
         "domain_hits": ev.hits_per_entry(F.col("entry_masks"), job["domain_words"], word_chunks),
@@ -270,7 +278,7 @@ def pair_rows(matched: DataFrame, bundle: Bundle) -> DataFrame:
     Every feature is a column of its own: what a caller does not select is pruned.
     """
     kept = [c for c in matched.columns if c not in _PAIR_HELPERS]
-    pairs = matched.withColumn("job", F.explode("jobs"))
+    pairs = matched.join(F.broadcast(bundle.jobs), F.lit(True))
     return pairs.select(*kept, *_pair_columns(bundle.term_chunks, bundle.word_chunks))
 
 

@@ -120,7 +120,7 @@ def _heading_styles(archive: zipfile.ZipFile) -> set[str]:
     for style in root.iter(f"{_W}style"):
         name = style.find(f"{_W}name")
         label = "" if name is None else name.get(f"{_W}val", "")
-        if "heading" in label.lower():
+        if "Heading" in label or label.startswith("heading "):
             found.add(style.get(f"{_W}styleId", ""))
     return found
 

@@ -4,15 +4,17 @@ import json
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from talentloom.functions import scalars as fx
 from talentloom.operators import features as fe
 from talentloom.operators import jobs as jo
 from talentloom.operators import ranking as rk
+from talentloom.operators import statistics as st
 from talentloom.operators import vectors as ve
 from talentloom.plans import pairs as pp
-from talentloom.plans import pipeline
+from talentloom.plans import pipeline, storage
 from talentloom.sources import candidates as cs
 from talentloom.sources import jobs as js
 from talentloom.streaming import topk as sk
@@ -178,6 +180,74 @@ def test_encoder_path(spark):
     assert len(ve.encode(ve.job_sentences(p), ["jd_id"], "texts", make).first().vectors) > 3
 
 
+def test_encoder_keeps_copies_apart(spark):
+    def make():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+    records = [person(1), person(1, profile={**person(1)["profile"], "summary": "x"}), person(1, profile={})]
+    rows = pipeline.with_vectors(people(spark, records), make).collect()
+    assert len(rows) == 3
+    want = {r.profile.summary: len(r.profile.summary) for r in rows}
+    for r in rows:
+        first = r.vectors[0]
+        assert (first is None) == (r.profile.summary == "")
+        if first is not None:
+            assert abs(first[0] - want[r.profile.summary] / np.hypot(want[r.profile.summary], 1)) < 1e-12
+
+
+def test_ingest_odd_values_and_broken_arrays(spark, tmp_path):
+    lines = ['{"candidate_id":"a","candidate_id":"b","skills":[{"endorsements":3000000000}],"profile":{"years_of_experience":NaN}}',
+             '{"candidate_id":"c","profile":{"years_of_experience":-Infinity,"headline":": NaN,"}}', "{bad"]
+    parsed = cs.parse_candidates(spark.createDataFrame([(x,) for x in lines], "value string"))
+    rows = {r["candidate_id"]: r for r in cs.accepted(parsed).collect()}
+    assert set(rows) == {"b", "c"} and rows["b"].skills[0].endorsements == 3_000_000_000
+    assert np.isnan(rows["b"].profile.years_of_experience) and rows["c"].profile.headline == ": NaN,"
+    (tmp_path / "a.json").write_text('[{"candidate_id":"q"},{"candidate_id":"w"}')
+    (tmp_path / "b.json").write_text('{"candidate_id":"q"}')
+    (tmp_path / "c.json").write_text('[{"candidate_id":"q"},3]')
+    found = cs.parse_candidates(cs.scan_candidates(spark, f"{tmp_path}/*.json", "json")).collect()
+    assert sorted(r["_reject"] or "ok" for r in found) == ["invalid", "malformed", "malformed", "ok"]
+    with pytest.raises(ValueError):
+        cs.scan_candidates(spark, "people.txt")
+
+
+def test_quantiles_with_infinities_and_groups(spark):
+    for values in ([1.0, 2.0, float("inf")], [3.0] * 5, [1.0, 2.0, 3.0, 10.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert st.exact_quantiles(df, "x", [0.5]) == [float(np.median(values))]
+    data = [("a", float(i)) for i in range(101)] + [("b", 7.0)]
+    got = st.quantiles_by_group(spark.createDataFrame(data, "g string, x double"), ["g"], "x", [0.5]).collect()
+    assert {(r["g"], r["value"]) for r in got} == {("a", 50.0), ("b", 7.0)}
+
+
+def test_run_counts_rejects(spark, tmp_path):
+    lines = [json.dumps(person(1)), json.dumps(person(2)), "{bad", '{"candidate_id":""}']
+    parsed = cs.parse_candidates(spark.createDataFrame([(x,) for x in lines], "value string"))
+    jobs = js.jobs_from_text(spark.createDataFrame([("j", JOB)], "jd_id string, text string"))
+    metrics = pipeline.run(spark, jobs, parsed, str(tmp_path / "out"), "2024-01-31", 3, shared=str(tmp_path)).metrics.first()
+    assert (metrics.total_candidates, metrics.errors, metrics.candidates_ranked) == (2, 2, 2)
+
+
+def test_hot_id_needs_no_other_plan(spark):
+    rows = [("j", "hot", float(i), i) for i in range(500)] + [("j", f"c{i}", float(i), i) for i in range(20)]
+    df = spark.createDataFrame(rows, "jd_id string, candidate_id string, score double, row_hash long").repartition(5)
+    for copies in (None, 500):
+        got = rk.rank_candidates(df, 3, copies, buckets=4).orderBy("rank").collect()
+        assert [(r["candidate_id"], r["score"]) for r in got] == [("hot", 499.0), ("c19", 19.0), ("c18", 18.0)]
+    plan = rk.rank_candidates(df, 3, None)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and "SinglePartition" not in plan
+
+
+def test_store_keeps_two_versions(spark, tmp_path):
+    store = sk.TopKStore(spark, str(tmp_path / "s"))
+    for i in range(4):
+        store.write(spark.range(i + 1), i)
+    assert store._versions() == [2, 3] and store.latest().count() == 4
+
+
+def test_shared_folder(spark, tmp_path):
+    assert storage.shared_folder(spark, "x", str(tmp_path)).startswith(f"{tmp_path}/x-")
+
+
 def test_run_writes_all_outputs(spark, tmp_path):
     jobs = js.jobs_from_text(spark.createDataFrame([("j", JOB)], "jd_id string, text string"))
     result = pipeline.run(spark, jobs, people(spark, [person(i) for i in range(4)]), str(tmp_path), "2024-01-31", 3)
