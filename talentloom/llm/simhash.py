@@ -13,7 +13,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import cut, text_batches, utf8
@@ -22,6 +22,9 @@ from talentloom.llm.graph import components
 DISTANCE = 4
 #: First bit and width of the segments; the last lacks nothing: 22 + 21 + 21 = 64.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Five-word shingles of two texts with a Jaccard similarity of 0.8 differ in about 19 of 128 bits, four in either direction
+#: being one standard deviation; unrelated texts differ in about 64.
+SIMILAR_BITS = 25
 #: Buckets up to this size are compared by shifted arrays, larger ones by a search that grows clusters.
 _SMALL = 8
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -41,6 +44,11 @@ def fingerprint(text: bytes, width: int = 4) -> int:
         starts = (ends - sizes + 1)[: len(words) - width + 1].tolist()
         hashes = np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)),
                              dtype=np.uint64, count=len(starts))
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at:at + 8192]
@@ -61,15 +69,20 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFra
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
-def _cluster(fps: np.ndarray, distance: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of fingerprint words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _cluster(prints: np.ndarray, distance: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Cluster labels and tree edges among fingerprints within ``distance``; each node meets only nodes not yet reached."""
-    label, edges, left = np.full(len(fps), -1), [], np.arange(len(fps))
+    label, edges, left = np.full(len(prints), -1), [], np.arange(len(prints))
     while len(left):
         seed, left = left[0], left[1:]
         label[seed], queue = seed, [seed]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= distance
+            near = _apart(prints[left], prints[at]) <= distance
             found = left[near]
             left, label[found] = left[~near], seed
             edges += [(at, x) for x in found.tolist()]
@@ -77,16 +90,15 @@ def _cluster(fps: np.ndarray, distance: int) -> tuple[np.ndarray, list[tuple[int
     return label, edges
 
 
-def _large_bucket(fps: np.ndarray, bit: int, first: bool, distance: int) -> list[tuple[int, int]]:
-    """Tree edges of one variant bucket. Fingerprints that agree in the left-out bit meet in the segment's first bucket
-    too; only there are their own edges given out."""
-    side = (fps >> np.uint64(bit)) & np.uint64(1) == 1
+def _large_bucket(side: np.ndarray, prints: np.ndarray, first: bool, distance: int) -> list[tuple[int, int]]:
+    """Tree edges (places) of one variant bucket; ``side`` is the left-out bit. Members that agree in it meet in the
+    segment's first bucket too; only there are their own edges given out."""
     out, groups = [], []
-    for half in (fps[~side], fps[side]):
-        label, edges = _cluster(half, distance)
-        groups.append((half, label))
+    for at in (np.flatnonzero(~side), np.flatnonzero(side)):
+        label, edges = _cluster(prints[at], distance)
+        groups.append((at, label))
         if first:
-            out += [(half[a], half[b]) for a, b in edges]
+            out += [(int(at[x]), int(at[y])) for x, y in edges]
     (a, la), (b, lb) = groups
     roots = {("a", x): ("a", x) for x in set(la.tolist())} | {("b", x): ("b", x) for x in set(lb.tolist())}
 
@@ -99,75 +111,94 @@ def _large_bucket(fps: np.ndarray, bit: int, first: bool, distance: int) -> list
     for i in range(len(a)):
         if clusters == 1:
             break
-        near = np.flatnonzero(np.bitwise_count(b ^ a[i]) <= distance)
+        near = np.flatnonzero(_apart(prints[b], prints[a[i]]) <= distance)
         for x, j in zip(*np.unique(lb[near], return_index=True), strict=True):
             p, q = root(("a", int(la[i]))), root(("b", int(x)))
             if p != q:
                 roots[q], clusters = p, clusters - 1
-                out.append((a[i], b[near[j]]))
+                out.append((int(a[i]), int(b[near[j]])))
     return out
 
 
-def _bucket_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges of whole buckets, sorted by key."""
+def _bucket_edges(keys: np.ndarray, signs: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges, as places, of whole buckets sorted by key. ``signs`` are the indexed signatures, ``prints`` (rows x words)
+    what the distance is taken of."""
     masks = [np.uint64(((1 << w) - 1) << o) for o, w in SEGMENTS]
-    offsets, numbers = np.array([o for o, _ in SEGMENTS]), np.searchsorted([o for o, _ in SEGMENTS], keys >> 24, "right") - 1
+    offsets, bits = np.array([o for o, _ in SEGMENTS]), (keys >> 24) & 63
+    numbers = np.searchsorted(offsets, bits, "right") - 1
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], dtype=np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     size_of = np.repeat(sizes, sizes)
     for lag in range(1, _SMALL):
         at = np.flatnonzero((keys[lag:] == keys[:-lag]) & (size_of[:-lag] <= _SMALL))
-        a, b, bit, number = fps[at], fps[at + lag], (keys[at] >> 24).astype(np.uint64), numbers[at]
-        apart = a ^ b
-        take = np.bitwise_count(apart) <= distance
-        take &= ((apart >> bit) & np.uint64(1) == 1) | (bit == offsets[number])
-        for lower in range(len(SEGMENTS) - 1):  # a pair is given out in its first fitting segment only
-            take &= (number <= lower) | (np.bitwise_count(apart & masks[lower]) > 1)
-        yield a[take], b[take]
+        take = _apart(prints[at], prints[at + lag]) <= distance
+        at = at[take]
+        differ = signs[at] ^ signs[at + lag]
+        take = ((differ >> bits[at].astype(np.uint64)) & np.uint64(1) == 1) | (bits[at] == offsets[numbers[at]])
+        for lower in range(len(SEGMENTS) - 1):  # a pair is given out in a signature's first fitting segment only
+            take &= (numbers[at] <= lower) | (np.bitwise_count(differ & masks[lower]) > 1)
+        yield at[take], at[take] + lag
     for start, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        bit = int(keys[start] >> 24)
-        found = _large_bucket(fps[start:start + size], bit, bit == offsets[numbers[start]], distance)
-        yield tuple(np.array(found, dtype=np.uint64).reshape(-1, 2).T)
+        bit, part = int(bits[start]), slice(start, start + size)
+        side = (signs[part] >> np.uint64(bit)) & np.uint64(1) == 1
+        found = _large_bucket(side, prints[part], bit == offsets[numbers[start]], distance)
+        yield tuple(np.array(found, dtype=np.int64).reshape(-1, 2).T + start)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) that join all distinct fingerprints linked within ``distance``: in buckets of at most eight every
-    link, in larger ones a spanning tree of each cluster, so that the edges grow with the buckets, not their pairs."""
-    if distance > 2 * len(SEGMENTS) - 1:
-        raise ValueError("three segments with one wildcard find distances up to 5")
+def _variants(signature: str, number: int) -> list[Column]:
+    """The 64 bucket keys of a signature: its number, the left-out bit, and that bit's segment without it."""
     keys = []
     for offset, width in SEGMENTS:
         for bit in range(width):
             mask = ((1 << width) - 1) & ~(1 << bit)
-            keys.append(F.shiftrightunsigned("fp", offset).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((offset + bit) << 24)))
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (fps.select(F.explode(F.array(*(k.cast("int") for k in keys))).alias("key"), "fp")
-            .repartition(parts, "key").sortWithinPartitions("key"))
+            keys.append(F.shiftrightunsigned(signature, offset).bitwiseAND(F.lit(mask))
+                        .bitwiseOR(F.lit((64 * number + offset + bit) << 24)).cast("long"))
+    return keys
+
+
+def links(nodes: DataFrame, node: str, signatures: list[str], prints: list[str], distance: int) -> DataFrame:
+    """Edges (a, b) between rows of ``nodes`` whose ``prints`` differ in at most ``distance`` bits and that share a
+    variant of a signature: in buckets of at most eight every link, in larger ones a spanning tree of each cluster, so
+    that the edges grow with the buckets, not with their pairs. ``node`` is a long that names the row."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = list(dict.fromkeys([node, *prints]))
+    rows = None
+    for number, signature in enumerate(signatures):
+        part = nodes.select(F.explode(F.array(*_variants(signature, number))).alias("key"), F.col(signature).alias("sign"), *kept)
+        rows = part if rows is None else rows.union(part)
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.empty(0, np.int32), np.empty(0, np.uint64)
+        held = None
 
-        def edges(keys, values):
-            for a, b in _bucket_edges(keys, values, distance):
+        def edges(part: pa.Table):
+            column = lambda c: part.column(c).to_numpy()
+            words = np.stack([column(c).view(np.uint64) for c in prints], axis=1)
+            names = column(node)
+            for a, b in _bucket_edges(column("key"), column("sign").view(np.uint64), words, distance):
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
         for batch in batches:
-            held_key = np.r_[held_key, batch.column("key").to_numpy(zero_copy_only=False)]
-            held = np.r_[held, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)]
-            whole = np.searchsorted(held_key, held_key[-1]) if len(held_key) else 0  # the last bucket may go on
+            fresh = pa.Table.from_batches([batch])
+            held = (fresh if held is None else pa.concat_tables([held, fresh])).combine_chunks()
+            keys = held.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
             if whole:
-                yield from edges(held_key[:whole], held[:whole])
-                held_key, held = held_key[whole:], held[whole:]
-        yield from edges(held_key, held)
+                yield from edges(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from edges(held)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
 def component_of(prints: DataFrame, distance: int) -> DataFrame:
     """(fp, component, component_id) for the distinct fingerprints of ``prints`` (doc_id, fp)."""
+    if distance > 2 * len(SEGMENTS) - 1:
+        raise ValueError("three segments with one wildcard find all links up to 5 bits")
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(first.select("fp"), distance)).withColumnRenamed("node", "fp")
+    roots = components(links(first, "fp", ["fp"], ["fp"], distance)).withColumnRenamed("node", "fp")
     placed = first.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     return placed.join(named, "component").select("fp", "component", "component_id")
@@ -194,3 +225,50 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -> DataF
     kept = (prints.join(placed, "fp").groupBy("component")
             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key"))
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
+def _sketch(text: bytes) -> tuple[int, int, int, int, int]:
+    """A name (hash of the text), two signatures of the distinct words, and two words of a 128-bit fingerprint of the
+    five-word shingles."""
+    words = text.lower().split()
+    joined = b" ".join(words)
+    single = np.array([_hash(w) for w in set(words)], dtype=np.uint64)
+    if len(words) <= 5:
+        shingles = np.array([_hash(joined)] if words else [], dtype=np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+        starts = np.r_[0, ends[:-1] + 1][:len(words) - 4].tolist()
+        shingles = np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends[4:].tolist(), strict=True)), dtype=np.uint64,
+                               count=len(starts))
+    out = [xxhash.xxh3_64_intdigest(text)]
+    for hashes in (single, shingles):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out += [_majority(hashes), _majority(mixed ^ (mixed >> np.uint64(32)))]
+    return tuple(out)
+
+
+def keep_one_similar(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates by five-word shingles.
+
+    An edit that changes one word in fifty leaves four fifths of the shingles; so few changed words hardly move a
+    fingerprint of the distinct words. Two of these are indexed by their one-wildcard segments; who meets there is
+    verified by the 128-bit fingerprint of the shingles, at most ``distance`` bits apart. The row with the smallest
+    doc_id stays (a null id only where all are null), of repeated ids the one with the smallest hash. Null and blank
+    texts are one group. All columns stay.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "_key", "node", "s0", "s1", "v0", "v1"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            columns = np.array([_sketch(x) for x in utf8(batch.column("text"))], dtype=np.uint64).reshape(-1, 5).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"),
+                                              *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], names=names)
+
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    prints = cut(keyed.select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, _key long, " + ", ".join(f"{c} long" for c in names[2:])))
+    nodes = cut(prints.dropDuplicates(["node"]).select(*names[2:]))
+    roots = components(links(nodes, "node", ["s0", "s1"], ["v0", "v1"], distance))
+    placed = prints.select("doc_id", "_key", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

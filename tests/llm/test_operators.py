@@ -430,7 +430,7 @@ def test_simhash_links_of_dense_and_sparse_clusters(spark):
             values.add(value)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), "fp", ["fp"], ["fp"], 4).collect()
     place = {v: i for i, v in enumerate(signed)}
     parent = list(range(len(values)))
 
@@ -462,6 +462,26 @@ def test_near_duplicates(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_similar_texts_leave_one(spark, docs, empty):
+    rng = random.Random(12)
+    data, kinds = [], {}
+    for g in range(12):
+        text = words(rng, 400).split()
+        for copy in range(6):
+            changed = list(text)
+            for _ in range(copy):  # one word in eighty at most: similarity 0.88 or more
+                changed[rng.randrange(400)] = "neu" + str(rng.randrange(10 ** 6))
+            data.append((10 * g + copy, " ".join(changed), "xx", "a"))
+            kinds[10 * g + copy] = g
+    data += [(500 + i, words(rng, 300), None, None) for i in range(20)] + [(900, None, None, None), (901, "", None, None)]
+    kept = simhash.keep_one_similar(table(spark, data))
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sorted(ids) == sorted([10 * g for g in range(12)] + [500 + i for i in range(20)] + [900])
+    assert simhash.keep_one_similar(empty).count() == 0
+    assert simhash.keep_one_similar(docs).filter("doc_id is null").count() == 1  # of the blank ones an id comes first
+
+
 # 9
 
 def brute_targets(sizes, weights=(5, 2, 1)):

@@ -1,13 +1,12 @@
 """The pipeline stage by stage against brute force, and the registered queries."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from talentloom.llm import tiling
-from test_operators import brute_components, brute_print
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -29,12 +28,21 @@ def test_stages(stages):
     before, after = seen["language"]
     assert set(after.doc_id) <= set(before.doc_id) and len(after) >= 0.95 * len(before)
     before, after = seen["near_duplicates"]
-    values = [brute_print(t, 5) for t in before.text]
-    roots = brute_components(values, 4)
-    least = {}
-    for i, r in zip(before.doc_id, roots, strict=True):
-        least[r] = min(least.get(r, i), i)
-    assert sorted(after.doc_id) == sorted(least.values())
+    shingles = {i: {tuple(w[k:k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))}
+                for i, t in zip(before.doc_id, before.text, strict=True)}
+    owners = defaultdict(set)
+    for i, found in shingles.items():
+        for x in found:
+            owners[x].add(i)
+    kept = set(after.doc_id)
+    for i in sorted(shingles):
+        others = set().union(*(owners[x] for x in shingles[i])) - {i}
+        likeness = {j: len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) for j in others}
+        if i in kept:
+            assert all(likeness[j] < 0.85 for j in others & kept)
+        else:
+            assert max(likeness.values()) > 0.6
+    assert len(kept) < len(before)
     before, after = seen["decontamination"]
     bad = {r["doc_id"] for r in tiling.contaminated(stages[2][1], stages[2][1].sparkSession.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
     assert set(after.doc_id) == set(before.doc_id) - bad and bad
