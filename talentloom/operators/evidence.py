@@ -8,7 +8,7 @@ J x terms substring scans per candidate by one scan per distinct term.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.functions import scalars as fx
@@ -197,6 +197,26 @@ def pick(evidence: Column, ids: Column) -> Column:
     return F.filter(evidence, lambda e: F.array_contains(ids, e["id"]))
 
 
+def named(terms: Column, ids: Column) -> Column:
+    """Names of the terms with the given ids."""
+    return F.transform(ids, lambda i: F.get(terms, i))
+
+
+def detail_rows(pairs: DataFrame) -> DataFrame:
+    """One row per (job, candidate, competency) of ``pairs`` with ``term_names`` and ``evidence_rows``.
+
+    A competency without a trace in the record gets a row of zeros.
+    """
+    both = F.transform("term_names", lambda t: F.struct(
+        t.alias("term"), F.get(F.filter("evidence_rows", lambda e: e["term"] == t), F.lit(0)).alias("e")))
+    rows = fx.element_rows(pairs.withColumn("_all", both), "_all", "jd_id", "candidate_id")
+    e = F.col("element.e")
+    flags = [F.coalesce(e[f], F.lit(False)).alias(f) for f in ("in_skills", "in_summary", "in_career", "in_certifications")]
+    counts = [F.coalesce(e[f], F.lit(0)).alias(f) for f in ("skill_months", "endorsements", "career_mentions", "source_count")]
+    scores = [F.coalesce(e[f], F.lit(0.0)).alias(f) for f in ("assessment_score", "confidence")]
+    return rows.select("jd_id", "candidate_id", F.col("element.term").alias("term"), *flags, *scores, *counts)
+
+
 def unsupported(terms: Column, picked: Column, ids: Column) -> Column:
     """Names of a job's terms without any source, in the job's order."""
     backed = F.transform(F.filter(picked, lambda e: e["source_count"] > 0), lambda e: e["id"])

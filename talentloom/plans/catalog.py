@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from talentloom.functions import scalars as fx
 from talentloom.operators import authenticity as au
+from talentloom.operators import evidence as ev
 from talentloom.operators import features as fe
 from talentloom.operators import jobs as jo
 from talentloom.operators import narrative as na
@@ -135,10 +136,8 @@ def evidence_rollup(spark, sf):
 
 def evidence_detail(spark, sf):
     """Evidence of every competency for the ranked candidates, also where there is none."""
-    rows = _scored(spark, sf).select("jd_id", "candidate_id", "row_hash", "score", "evidence_rows")
-    ranked = rk.rank_candidates(rows, K, _copies(spark, sf))
-    found = fx.element_rows(ranked, "evidence_rows", "jd_id", "candidate_id").select("jd_id", "candidate_id", "element.*")
-    return tidy(found.drop("id", "jobs", "tested", "in_title", "matched"))
+    rows = _scored(spark, sf).select("jd_id", "candidate_id", "row_hash", "score", "evidence_rows", "term_names")
+    return tidy(ev.detail_rows(rk.rank_candidates(rows, K, _copies(spark, sf))))
 
 
 def narrative(spark, sf):

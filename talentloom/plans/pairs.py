@@ -262,7 +262,7 @@ def _pair_columns(term_chunks: int, word_chunks: int) -> list[Column]:
         "relevant_assessment": F.when(
             F.col("skill.total_skills") > 0,
             ev.relevant_assessment(F.col("assessments"), picked("required_ids"))).otherwise(0.0),
-        "evidence_rows": picked("term_ids"),
+        "evidence_rows": picked("term_ids"), "term_names": ev.named(F.col("terms"), job["term_ids"]),
         "unsupported_terms": ev.unsupported(F.col("terms"), picked("term_ids"), job["term_ids"]),
         "first_hits": ev.hits_per_entry(F.col("entry_masks"), job["first_words"], word_chunks),
         "domain_hits": ev.hits_per_entry(F.col("entry_masks"), job["domain_words"], word_chunks),

@@ -126,7 +126,7 @@ def _heading_styles(archive: zipfile.ZipFile) -> set[str]:
 
 
 def _run_text(run: ElementTree.Element) -> str:
-    parts = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    parts = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
     return "".join(
         (node.text or "") if node.tag == f"{_W}t" else parts.get(node.tag, "") for node in run
     )
@@ -142,22 +142,42 @@ def _docx_lines(content: bytes) -> list[dict]:
         style = para.find(f"{_W}pPr/{_W}pStyle")
         runs = para.findall(f"{_W}r")
         bold = runs[0].find(f"{_W}rPr/{_W}b") if runs else None
-        text = "".join(_run_text(r) for r in para.iter(f"{_W}r"))
+        text = "".join(_run_text(r) for r in runs)  # direct runs: no text boxes, no tracked insertions
         styled = (style is not None and style.get(f"{_W}val") in headings) or (
             bold is not None and bold.get(f"{_W}val", "true").lower() not in _OFF)
         lines.append({"text": unicodedata.normalize("NFKD", text), "styled": bool(styled)})
     return lines
 
 
+def _docx_row(content: bytes) -> tuple[list[dict] | None, str | None]:
+    try:
+        return _docx_lines(content), None
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError, ValueError) as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
 def _docx_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"jd_id": batch["path"], "lines": [_docx_lines(c) for c in batch["content"]]})
+        rows = [_docx_row(c) for c in batch["content"]]
+        yield pd.DataFrame({"jd_id": batch["path"], "lines": [r[0] for r in rows], "error": [r[1] for r in rows]})
 
 
-def jobs_from_docx(spark: SparkSession, path: str) -> DataFrame:
-    """Structure every .docx below a folder; jd_id is the file path."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx")
+def scan_docx(spark: SparkSession, path: str) -> DataFrame:
+    """(jd_id, lines, error) of every .docx below a folder; an unreadable file is a row with its error.
+
+    Word's lock files (``~$name.docx``) are not taken.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "[!~]*.docx")
              .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    lines = files.mapInPandas(
-        _docx_batches, "jd_id string, lines array<struct<text:string,styled:boolean>>")
-    return structure_jobs(lines)
+    return files.mapInPandas(
+        _docx_batches, "jd_id string, lines array<struct<text:string,styled:boolean>>, error string")
+
+
+def jobs_from_docx(spark: SparkSession, path: str) -> DataFrame:
+    """Structure every readable .docx below a folder; jd_id is the file path."""
+    return structure_jobs(scan_docx(spark, path).where("error IS NULL").drop("error"))
+
+
+def docx_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Path and error of the files that jobs_from_docx leaves out."""
+    return scan_docx(spark, path).where("error IS NOT NULL").select("jd_id", "error")

@@ -125,6 +125,11 @@ def test_docx_round_trip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
         z.writestr("word/styles.xml", f'<w:styles {w}><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style></w:styles>')
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    (tmp_path / "~$a.docx").write_bytes(b"lock")
+    assert js.jobs_from_docx(spark, str(tmp_path)).count() == 1
+    rejects = js.docx_rejects(spark, str(tmp_path)).collect()
+    assert [r["jd_id"].endswith("broken.docx") for r in rejects] == [True]
     row = js.jobs_from_docx(spark, str(tmp_path)).first()
     assert [(s.name, s.text) for s in row.sections] == [("Required", "Python and Spark"), ("Nice", "- Kafka")]
     assert row.paragraphs[3].is_bullet
