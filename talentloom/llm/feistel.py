@@ -16,7 +16,7 @@ from talentloom.llm.common import numbered
 
 ROUNDS = 6
 #: Fixed values of the round function.
-_MULTIPLIER, _SHIFT, _KEY_STEP, _KEY_MODULUS = 2654435761, 15, 40503, 2147483647
+MULTIPLIER, SHIFT, _KEY_STEP, _KEY_MODULUS = 2654435761, 15, 40503, 2147483647
 
 
 def half_bits(rows: int) -> int:
@@ -37,8 +37,8 @@ def permute(numbers: np.ndarray, rows: int, seed: int) -> np.ndarray:
         x = out[outside]
         left, right = x >> np.uint64(bits), x & mask
         for key in keys:
-            mixed = (right ^ key) * np.uint64(_MULTIPLIER) % np.uint64(1 << 61)
-            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(_SHIFT))) & mask)
+            mixed = (right ^ key) * np.uint64(MULTIPLIER) % np.uint64(1 << 61)
+            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(SHIFT))) & mask)
         out[outside] = (left << np.uint64(bits)) | right
         outside = out >= np.uint64(rows)
     return out.astype(np.int64)

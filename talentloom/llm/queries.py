@@ -65,5 +65,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                     op6_pairwise_quality, op7_private_spans, op8_simhash_variants, op9_pivotal_mix, op10_crf_language, pipeline)}
 
 
+def _shard_sql(shards: int = 24, seed: int = 0) -> str:
+    """The permutation in SQL: rounds as nested selects, the walk as a recursive query. The checksum is the usual
+    table-driven one over the bytes of the text."""
+    def rounds(source: str) -> str:
+        sql = f"SELECT n, x >> (SELECT b FROM dom) AS l, x & (SELECT m FROM dom) AS r FROM ({source})"
+        for key in feistel.round_keys(seed):
+            sql = (f"SELECT n, r AS l, xor(l, xor(f, f >> {feistel.SHIFT}) & (SELECT m FROM dom)) AS r FROM "
+                   f"(SELECT n, l, r, CAST(xor(r, {key}) * {feistel.MULTIPLIER} % {1 << 61} AS BIGINT) AS f FROM ({sql}))")
+        return f"SELECT n, (l << (SELECT b FROM dom)) | r AS x FROM ({sql})"
+
+    return f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_concat([k], range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS k))),
+    docs AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, list_transform(regexp_extract_all(
+        hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+    summed AS (SELECT doc_id, size, xor(list_reduce(list_concat([4294967295], bytes),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM docs, tab),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS n FROM summed),
+    dom AS (SELECT b, (1 << b) - 1 AS m, c FROM (SELECT greatest(1, CAST(ceil(ceil(log2(greatest(c, 2))) / 2) AS INTEGER)) AS b, c
+        FROM (SELECT count(*) AS c FROM numbered))),
+    walk AS ({rounds('SELECT n, n AS x FROM numbered')} UNION ALL
+        {rounds('SELECT n, x FROM walk WHERE x >= (SELECT c FROM dom)')})
+    SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, x // {shards} AS slot,
+        CAST(NULL AS INTEGER) AS grown_shard FROM walk JOIN numbered USING (n) WHERE x < (SELECT c FROM dom)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the one operator that it can express; the others are held against brute force in the tests."""
+    return {"op5_feistel_shards": _shard_sql()}
