@@ -309,7 +309,7 @@ entry_avg AS (SELECT jd_id, d, coalesce(list_reduce(list(least(1.0, early_hits *
 vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sims AS (SELECT r.jd_id, p.d, coalesce(list_cosine_similarity(a.v, j.v), 0) AS summary_sim,
     coalesce(list_cosine_similarity(list_reverse(a.v), j.v), 0) AS skills_sim,
-    coalesce(list_cosine_similarity(list_concat(a.v[2:], a.v[1:1]), j.v), 0) AS career_sim,
+    CASE WHEN a.v IS NULL THEN 0 ELSE coalesce(list_cosine_similarity(list_concat(a.v[2:], a.v[1:1]), j.v), 0) END AS career_sim,
     coalesce(-list_cosine_similarity(a.v, j.v), 0) AS headline_sim
   FROM raw r CROSS JOIN people p LEFT JOIN vec a ON a.vec_id = p.d LEFT JOIN vec j ON j.vec_id = r.jd_id),
 pair0 AS (SELECT r.jd_id, p.d, p.candidate_id, p.name, p.title, p.years, n, n_req, coalesce(matched, 0) AS matched,
