@@ -120,12 +120,11 @@ def _large_bucket(side: np.ndarray, prints: np.ndarray, first: bool, distance: i
     return out
 
 
-def _bucket_edges(keys: np.ndarray, signs: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges, as places, of whole buckets sorted by key. ``signs`` are the indexed signatures, ``prints`` (rows x words)
-    what the distance is taken of."""
-    masks = [np.uint64(((1 << w) - 1) << o) for o, w in SEGMENTS]
-    offsets, bits = np.array([o for o, _ in SEGMENTS]), (keys >> 24) & 63
-    numbers = np.searchsorted(offsets, bits, "right") - 1
+def _bucket_edges(keys: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges, as places, of whole buckets sorted by key; ``prints`` (rows x words) are what the distance is taken of."""
+    sides, keys = keys & 1 == 1, keys >> 1
+    bits = (keys >> 24) & 63
+    first = np.isin(bits, [o for o, _ in SEGMENTS])
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], dtype=np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     size_of = np.repeat(sizes, sizes)
@@ -133,26 +132,25 @@ def _bucket_edges(keys: np.ndarray, signs: np.ndarray, prints: np.ndarray, dista
         at = np.flatnonzero((keys[lag:] == keys[:-lag]) & (size_of[:-lag] <= _SMALL))
         take = _apart(prints[at], prints[at + lag]) <= distance
         at = at[take]
-        differ = signs[at] ^ signs[at + lag]
-        take = ((differ >> bits[at].astype(np.uint64)) & np.uint64(1) == 1) | (bits[at] == offsets[numbers[at]])
-        for lower in range(len(SEGMENTS) - 1):  # a pair is given out in a signature's first fitting segment only
-            take &= (numbers[at] <= lower) | (np.bitwise_count(differ & masks[lower]) > 1)
+        # who agrees in the left-out bit meets in the segment's first bucket too
+        take = (sides[at] != sides[at + lag]) | first[at]
         yield at[take], at[take] + lag
     for start, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        bit, part = int(bits[start]), slice(start, start + size)
-        side = (signs[part] >> np.uint64(bit)) & np.uint64(1) == 1
-        found = _large_bucket(side, prints[part], bit == offsets[numbers[start]], distance)
+        part = slice(start, start + size)
+        found = _large_bucket(sides[part], prints[part], bool(first[start]), distance)
         yield tuple(np.array(found, dtype=np.int64).reshape(-1, 2).T + start)
 
 
 def _variants(signature: str, number: int) -> list[Column]:
-    """The 64 bucket keys of a signature: its number, the left-out bit, and that bit's segment without it."""
+    """The 64 bucket keys of a signature: its number, the place of the left-out bit, that bit's segment without it, and last
+    the left-out bit itself, which does not divide the bucket."""
     keys = []
     for offset, width in SEGMENTS:
         for bit in range(width):
             mask = ((1 << width) - 1) & ~(1 << bit)
-            keys.append(F.shiftrightunsigned(signature, offset).bitwiseAND(F.lit(mask))
-                        .bitwiseOR(F.lit((64 * number + offset + bit) << 24)).cast("long"))
+            rest = F.shiftrightunsigned(signature, offset).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((64 * number + offset + bit) << 24))
+            own = F.shiftrightunsigned(signature, offset + bit).bitwiseAND(F.lit(1))
+            keys.append(F.shiftleft(rest.cast("long"), 1).bitwiseOR(own).cast("long"))
     return keys
 
 
@@ -164,9 +162,9 @@ def links(nodes: DataFrame, node: str, signatures: list[str], prints: list[str],
     kept = list(dict.fromkeys([node, *prints]))
     rows = None
     for number, signature in enumerate(signatures):
-        part = nodes.select(F.explode(F.array(*_variants(signature, number))).alias("key"), F.col(signature).alias("sign"), *kept)
+        part = nodes.select(F.explode(F.array(*_variants(signature, number))).alias("key"), *kept)
         rows = part if rows is None else rows.union(part)
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+    rows = rows.repartition(parts, F.shiftright("key", 1)).sortWithinPartitions("key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -175,14 +173,14 @@ def links(nodes: DataFrame, node: str, signatures: list[str], prints: list[str],
             column = lambda c: part.column(c).to_numpy()
             words = np.stack([column(c).view(np.uint64) for c in prints], axis=1)
             names = column(node)
-            for a, b in _bucket_edges(column("key"), column("sign").view(np.uint64), words, distance):
+            for a, b in _bucket_edges(column("key"), words, distance):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
         for batch in batches:
             fresh = pa.Table.from_batches([batch])
             held = (fresh if held is None else pa.concat_tables([held, fresh])).combine_chunks()
-            keys = held.column("key").to_numpy()
+            keys = held.column("key").to_numpy() >> 1
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
             if whole:
                 yield from edges(held.slice(0, whole))
