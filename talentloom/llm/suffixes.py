@@ -32,6 +32,8 @@ SEED = 32
 GROUP_LIMIT = 100_000
 #: Offsets that one core serves when a group is divided.
 CORE_OFFSETS = 8
+#: Bits of the filter that spares unshared stretches the shuffle (32 MB at most).
+MOST_SIEVE_BITS = 28
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 22
@@ -54,8 +56,8 @@ def _prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(data: bytes, length: int = LENGTH, seed: int = SEED) -> Iterator[tuple[int, int, int, int]]:
-    """(first window, last window, anchor position, anchor hash) of each stretch of windows with one anchor.
+def stretches(data: bytes, length: int = LENGTH, seed: int = SEED) -> Iterator[tuple[np.ndarray, ...]]:
+    """First window, last window, anchor position and anchor hash of each stretch of windows with one anchor, in arrays.
 
     The anchor is the leftmost of the seeds with the smallest hash in the window. Long texts are read in pieces.
     """
@@ -80,8 +82,7 @@ def stretches(data: bytes, length: int = LENGTH, seed: int = SEED) -> Iterator[t
         starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
         ends = np.r_[starts[1:], count] - 1
         at = anchors[starts]
-        yield from zip((starts + begin).tolist(), (ends + begin).tolist(), (at + begin).tolist(),
-                       value[at].view(np.int64).tolist(), strict=True)
+        yield starts + begin, ends + begin, at + begin, value[at].view(np.int64)
 
 
 def _window_minimum(x: np.ndarray, span: int) -> np.ndarray:
@@ -165,7 +166,7 @@ class _Suffixes:
         return order, shared
 
     def verified(self, order: np.ndarray, shared: np.ndarray) -> bool:
-        """Whether neighbours really agree in their common extension and differ after it."""
+        """Whether neighbours really agree in their common extension: a hash collision can only make it too long."""
         for at in np.flatnonzero(shared).tolist():
             a, b, k = self.parts[order[at - 1]], self.parts[order[at]], int(shared[at])
             if a[:k] != b[:k]:
@@ -234,10 +235,13 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
 
 
-def _stretch_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(k1, k2, at, last, mid, anchor, content) for all stretches of all texts, copies included."""
+def _stretch_rows(docs: DataFrame, length: int, seed: int, sieve: np.ndarray | None = None) -> DataFrame:
+    """(k1, k2, at, last, mid, anchor, content) for all stretches of all texts, copies included; with a ``sieve`` only
+    those whose anchor it lets through."""
+    names = ["k1", "k2", "at", "last", "mid", "anchor", "content"]
+    shared = None if sieve is None else docs.sparkSession.sparkContext.broadcast(sieve)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "at", "last", "mid", "anchor", "content"]
         for batch in text_batches(batches, 256):
             out: list[list] = [[] for _ in names]
 
@@ -251,9 +255,16 @@ def _stretch_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
                                     strict=True):
                 if len(data) < length:
                     continue
-                for a, b, mid, anchor in stretches(data, length, seed):
-                    for column, x in zip(out, (k1, k2, a, b, mid, anchor, _signed(data[a:b + length])), strict=True):
-                        column.append(x)
+                for arrays in stretches(data, length, seed):
+                    if shared is not None:
+                        through = _passes(shared.value, arrays[3])
+                        arrays = tuple(x[through] for x in arrays)
+                    a, b, mid, anchor = (x.tolist() for x in arrays)
+                    ends = (arrays[1] + length).tolist()
+                    columns = ([k1] * len(a), [k2] * len(a), a, b, mid, anchor,
+                               [_signed(data[x:y]) for x, y in zip(a, ends, strict=True)])
+                    for column, values in zip(out, columns, strict=True):
+                        column += values
                     if len(out[0]) >= 200_000:
                         yield flush()
             if out[0]:
@@ -263,6 +274,26 @@ def _stretch_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
         run, "k1 long, k2 long, at long, last long, mid long, anchor long, content long")
 
 
+def _passes(sieve: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    through = np.ones(len(anchors), dtype=bool)
+    for spot in (anchors, anchors >> 28):
+        spot = (spot & (sieve.size * 64 - 1)).astype(np.int64)
+        through &= (sieve[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return through
+
+
+def _sieve(anchors: DataFrame, column: str = "anchor") -> np.ndarray:
+    """A Bloom filter of the anchors in a bounded number of bits. It only saves shuffling: an exact join follows."""
+    size = 1 << min(MOST_SIEVE_BITS, max(16, (16 * max(1, anchors.count())).bit_length()))
+    spots = F.explode(F.array(F.col(column).bitwiseAND(F.lit(size - 1)),
+                              F.shiftright(column, 28).bitwiseAND(F.lit(size - 1)))).alias("x")
+    found = anchors.select(spots).groupBy(F.shiftright("x", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(size // 64, dtype=np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
 def _signed(data: bytes) -> int:
     value = xxhash.xxh3_64_intdigest(data)
     return value - (1 << 64) if value >> 63 else value
@@ -277,6 +308,7 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def solve(rows):
+            rows = list({(r["group"], r["k1"], r["k2"], r["at"]): r for r in rows}.values())  # copies of a text are one
             names, groups = {}, []
             for r in rows:
                 groups.append(names.setdefault(r["group"], len(names)))
@@ -317,7 +349,7 @@ def _cored(rows: DataFrame, length: int, width: int) -> DataFrame:
                 for low in range(0, mid + 1, width):
                     high = min(low + width - 1, mid)  # offsets low..high, windows start at mid - high .. mid - low
                     start, stop = mid - high, min(mid - low + length, len(part))
-                    core = part[mid - low:min(mid - high + length, len(part))]
+                    core = part[mid - low:mid - low - width + 1 + length]  # the same bytes where a part has fewer offsets
                     if stop - start >= length:
                         name = xxhash.xxh3_128_hexdigest(core, seed=low) + r["group"]
                         out.append((name, r["k1"], r["k2"], r["at"] + start, high, part[start:stop], r["open"]))
@@ -330,26 +362,34 @@ def _cored(rows: DataFrame, length: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, "group string, k1 long, k2 long, at long, mid long, part binary, open boolean")
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(k1, k2, spans): for each text with repeated strings the byte spans to remove (not yet merged)."""
-    keyed = _key(docs)
-    counted = (_stretch_rows(keyed, length, seed).groupBy("anchor", "content")
-               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at", "last", "mid")).alias("one")))
-    counted = cut(counted.filter("anchor is not null"))
+def removed_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(k1, k2, spans): for each text of ``keyed`` with repeated strings the byte spans to remove (not yet merged)."""
+    shared = cut(_stretch_rows(keyed, length, seed).groupBy("anchor")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+                 .filter("n > 1").select(F.col("anchor").alias("_a"), (F.col("lo") == F.col("hi")).alias("same")))
+    near = cut(_stretch_rows(keyed, length, seed, _sieve(shared, "_a")).join(shared, F.col("anchor") == F.col("_a")).drop("_a"))
+    mixed = near.filter("not same")
+    counted = cut(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"),
+                                                         F.min(F.struct("k1", "k2", "at", "last", "mid")).alias("one")))
     again = counted.filter("n > 1").select(F.col("content").alias("_c"), F.col("anchor").alias("_a"))
-    whole = (_stretch_rows(keyed, length, seed).join(again, (F.col("content") == F.col("_c")) & (F.col("anchor") == F.col("_a")))
-             .select("k1", "k2", F.col("at").alias("a"), (F.col("last") + length).alias("b")).distinct())
+    span = ["k1", "k2", F.col("at").alias("a"), (F.col("last") + length).alias("b")]
+    whole = near.filter("same").select(*span).union(
+        mixed.join(again, (F.col("content") == F.col("_c")) & (F.col("anchor") == F.col("_a"))).select(*span))
     kinds = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1")
+    most = kinds.agg(F.max("m")).first()[0] or 0
     wanted = (counted.join(kinds.select("anchor", "m"), "anchor")
               .select("anchor", "m", (F.col("n") == 1).alias("open"), "one.*").groupBy("k1", "k2")
               .agg(F.collect_list(F.struct("anchor", "m", "open", "at", "last", "mid")).alias("list")))
-    texts = keyed.select("k1", "k2", "text")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in text_batches(batches, 64):
             out = []
             for k1, k2, data, spans in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(),
                                            utf8(batch.column("text")), batch.column("list").to_pylist(), strict=True):
+                if (k1, k2) == last:
+                    continue  # a copy: joined rows come in key order
+                last = (k1, k2)
                 out += [(f"{s['anchor']:x}", k1, k2, s["at"], s["mid"] - s["at"], data[s["at"]:s["last"] + length], s["open"], s["m"])
                         for s in spans]
             if out:
@@ -358,21 +398,22 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group
                                                   pa.array(columns[5], pa.binary()), pa.array(columns[6]), pa.array(columns[7], pa.int64())],
                                                  names=["group", "k1", "k2", "at", "mid", "part", "open", "m"])
 
-    # copies of a text bring their stretches once each; one of them is enough
-    rows = cut(wanted.join(texts, ["k1", "k2"]).mapInArrow(
+    rows = wanted.join(keyed, ["k1", "k2"]).mapInArrow(
         fetch, "group string, k1 long, k2 long, at long, mid long, part binary, open boolean, m long")
-        .dropDuplicates(["group", "k1", "k2", "at"]))
-    found = _sorted_groups(rows.filter(F.col("m") <= group_limit), length)
-    if rows.filter(F.col("m") > group_limit).limit(1).count():
+    if most <= group_limit:
+        found = _sorted_groups(rows, length)
+    else:
+        rows = cut(rows.dropDuplicates(["group", "k1", "k2", "at"]))
         cored = cut(_cored(rows.filter(F.col("m") > group_limit), length, CORE_OFFSETS))
         sizes = cored.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
         sized = cored.join(sizes, "group")
-        found = found.union(_sorted_groups(sized.filter(F.col("m").between(2, group_limit)), length))
         windows = _cored(sized.filter(F.col("m") > group_limit), length, 1)  # the core is the window: a count is enough
         several = windows.groupBy("group").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("group")
-        found = found.union(windows.filter("open").join(several, "group").select(
-            "k1", "k2", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
-    return whole.union(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        found = (_sorted_groups(rows.filter(F.col("m") <= group_limit), length)
+                 .union(_sorted_groups(sized.filter(F.col("m").between(2, group_limit)), length))
+                 .union(windows.filter("open").join(several, "group").select(
+                     "k1", "k2", F.col("at").alias("a"), (F.col("at") + length).alias("b"))))
+    return whole.union(found).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -382,7 +423,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, grou
     Matches lie within one text each; texts shorter than ``length``, empty and null ones stay as they are. Repeated rows
     are copies of each other. ``kept`` holds the remaining bytes.
     """
-    spans = removed_spans(docs, length, seed, group_limit)
+    keyed = _key(docs.select("doc_id", "text"))
+    spans = removed_spans(keyed, length, seed, group_limit)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,5 +447,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, grou
                                               pa.array(columns[3]), pa.array(columns[4], pa.binary())],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return (_key(docs.select("doc_id", "text")).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    return (keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
             .mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
