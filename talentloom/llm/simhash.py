@@ -25,6 +25,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Five-word shingles of two texts with a Jaccard similarity of 0.8 differ in about 19 of 128 bits, four in either direction
 #: being one standard deviation; unrelated texts differ in about 64.
 SIMILAR_BITS = 25
+#: The pipeline's near-duplicate stage: bucket keys of a text, and minima in each.
+BANDS, BAND_ROWS = 24, 5
+_MIXINGS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Buckets up to this size are compared by shifted arrays, larger ones by a search that grows clusters.
 _SMALL = 8
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -225,48 +228,140 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -> DataF
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
-def _sketch(text: bytes) -> tuple[int, int, int, int, int]:
-    """A name (hash of the text), two signatures of the distinct words, and two words of a 128-bit fingerprint of the
-    five-word shingles."""
+def _shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, ascending; of a shorter text one of all its words, if it has any."""
     words = text.lower().split()
     joined = b" ".join(words)
-    single = np.array([_hash(w) for w in set(words)], dtype=np.uint64)
-    if len(words) <= 5:
-        shingles = np.array([_hash(joined)] if words else [], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.r_[0, ends[:-1] + 1][:len(words) - 4].tolist()
-        shingles = np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends[4:].tolist(), strict=True)), dtype=np.uint64,
-                               count=len(starts))
-    out = [xxhash.xxh3_64_intdigest(text)]
-    for hashes in (single, shingles):
-        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out += [_majority(hashes), _majority(mixed ^ (mixed >> np.uint64(32)))]
-    return tuple(out)
+    if len(words) <= width:
+        return np.array([_hash(joined)] if words else [], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1][:len(words) - width + 1].tolist()
+    return np.unique(np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)),
+                                 dtype=np.uint64, count=len(starts)))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """Bucket keys: each hashes the least values of the shingles under five of 120 mixings. Two sets of similarity s agree in
+    a mixing with chance s wherever they differ, and in a key of all with 1 - (1 - s ** 5) ** 24."""
+    if not len(shingles):
+        return np.array([], dtype=np.int64)
+    least = np.full(len(_MIXINGS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 512):
+        part = (shingles[at:at + 512] ^ (shingles[at:at + 512] >> np.uint64(31)))[None, :] * _MIXINGS[:, None]
+        least = np.minimum(least, part.min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(least.reshape(BANDS, -1))],
+                    dtype=np.uint64).view(np.int64)
+
+
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components within each bucket of ``members`` (key, node, size, component) whose sizes
+    allow the similarity."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.select("key", "component", "node", "size").repartition(parts, "key").sortWithinPartitions("key", "component")
+
+    def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, group, node, size = (part.column(c).to_numpy() for c in ("key", "component", "node", "size"))
+        ends = np.searchsorted(key, key, "right")
+        own = np.flatnonzero(np.r_[key[1:] != key[:-1], True] | np.r_[group[1:] != group[:-1], True]) + 1
+        own = own[np.searchsorted(own, np.arange(len(key)), "right")]
+        for at in np.flatnonzero(own < ends).tolist():
+            others = slice(own[at], ends[at])
+            fit = node[others][5 * np.minimum(size[others], size[at]) >= 4 * np.maximum(size[others], size[at])]
+            if len(fit):
+                yield np.full(len(fit), node[at]), fit
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_keys(batches):
+            held, count = [], 0
+            for found in pairs(part):
+                held.append(found)
+                count += len(found[0])
+                if count > 50_000:
+                    yield _edge_batch(held)
+                    held, count = [], 0
+            if held:
+                yield _edge_batch(held)
+
+    found = rows.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _edge_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["a", "b"])
+
+
+def _whole_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, sorted by key, in tables that hold all rows of their keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy()
+        start = int(np.searchsorted(keys, keys[-1]))
+        if held and (start or held[-1].column("key")[-1].as_py() != keys[0]):
+            yield from _tables([*held, batch.slice(0, start)])
+            held = []
+        elif start:
+            yield from _tables([batch.slice(0, start)])
+        held.append(batch.slice(start))
+    yield from _tables(held)
+
+
+def _tables(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
+    """The pairs whose 128-bit fingerprints of the shingles are at most ``distance`` bits apart."""
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("v0").alias(f"{name}0"), F.col("v1").alias(f"{name}1"))
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    return pairs.join(side("b"), "b").join(side("a"), "a").filter(apart <= distance).select("a", "b")
 
 
 def keep_one_similar(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates by five-word shingles.
 
-    An edit that changes one word in fifty leaves four fifths of the shingles; so few changed words hardly move a
-    fingerprint of the distinct words. Two of these are indexed by their one-wildcard segments; who meets there is
-    verified by the 128-bit fingerprint of the shingles, at most ``distance`` bits apart. The row with the smallest
-    doc_id stays (a null id only where all are null), of repeated ids the one with the smallest hash. Null and blank
-    texts are one group. All columns stay.
+    Texts that share a band of minima are candidates, whatever the shape of the edit. First every member of a bucket is
+    compared with one leader; where a bucket then still has several components, all its pairs of different ones are.
+    Pairs are verified by the 128-bit fingerprint of the distinct shingles, at most ``distance`` bits apart. The row with the smallest doc_id stays (a null id only where all are null), of repeated ids the one with the smallest
+    hash. Null and blank texts are one group. All columns stay.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "_key", "node", "s0", "s1", "v0", "v1"]
+    names = ["doc_id", "_key", "node", "size", "v0", "v1", "bands"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            columns = np.array([_sketch(x) for x in utf8(batch.column("text"))], dtype=np.uint64).reshape(-1, 5).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"),
-                                              *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], names=names)
+            sets = [_shingles(x) for x in utf8(batch.column("text"))]
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(node),
+                                              pa.array([len(x) for x in sets], pa.int64()),
+                                              *(pa.array(np.array([_majority(x) for x in part], dtype=np.uint64).view(np.int64))
+                                                for part in (sets, [_mixed(x) for x in sets])),
+                                              pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=names)
 
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    prints = cut(keyed.select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, _key long, " + ", ".join(f"{c} long" for c in names[2:])))
-    nodes = cut(prints.dropDuplicates(["node"]).select(*names[2:]))
-    roots = components(links(nodes, "node", ["s0", "s1"], ["v0", "v1"], distance))
+    prints = cut(keyed.select("doc_id", "_key", "text").mapInArrow(
+        run, f"doc_id {kind}, _key long, node long, size long, v0 long, v1 long, bands array<long>"))
+    rows = prints.dropDuplicates(["node"]).select(F.explode("bands").alias("key"), *names[1:-1])
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "size")).alias("leader")).filter("_n > 1")
+    members = cut(rows.join(shared, "key").drop("_n"))
+    near = partial(_verified, nodes=members.dropDuplicates(["node"]).select("node", "v0", "v1"), distance=distance)
+    fits = 5 * F.least("size", "leader.size") >= 4 * F.greatest("size", "leader.size")
+    stars = near(members.filter(F.col("leader.node") != F.col("node")).filter(fits)
+                 .select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct())
+    roots = components(stars)
+    placed = (members.select("key", "node", "size").join(roots, "node", "left")
+              .select("key", "node", "size", F.coalesce("root", "node").alias("component")))
+    several = placed.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).filter("_l < _h").select("key")
+    rest = cut(near(_cross_pairs(placed.join(several, "key", "left_semi"))))
+    if rest.limit(1).count():
+        roots = components(rest.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     placed = prints.select("doc_id", "_key", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
     kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key")
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -482,6 +482,32 @@ def test_similar_texts_leave_one(spark, docs, empty):
     assert simhash.keep_one_similar(docs).filter("doc_id is null").count() == 1  # of the blank ones an id comes first
 
 
+@pytest.mark.parametrize("likeness", [0.8, 0.85, 0.9])
+def test_block_edited_copies_meet(likeness):
+    rng = random.Random(3)
+    for size in (150, 600):
+        met = 0
+        for _ in range(60):
+            text = ("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(size))
+            text = list(text)
+            block = ["neu" + str(rng.randrange(10 ** 9)) for _ in range(int((size - 4) * (1 / likeness - 1)))]
+            a, b = (simhash._shingles(" ".join(x).encode()) for x in (text, text + block))
+            assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= likeness
+            met += bool(set(simhash._bands(a).tolist()) & set(simhash._bands(b).tolist()))
+        assert met >= 59
+
+
+def test_block_edited_copies_leave_one(spark):
+    rng = random.Random(4)
+    data = []
+    for g in range(40):
+        text = [words(rng, 1) + str(rng.randrange(10 ** 6)) for _ in range(300)]
+        tail = ["neu" + str(rng.randrange(10 ** 9)) for _ in range(60)]
+        data += [(2 * g, " ".join(text), "xx", "a"), (2 * g + 1, " ".join(tail + text), "xx", "a")]
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(table(spark, data)).collect()}
+    assert {2 * g for g in range(40)} <= kept and len(kept) <= 43
+
+
 # 9
 
 def brute_targets(sizes, weights=(5, 2, 1)):
