@@ -22,12 +22,11 @@ from talentloom.llm.graph import components
 DISTANCE = 4
 #: First bit and width of the segments; the last lacks nothing: 22 + 21 + 21 = 64.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Five-word shingles of two texts with a Jaccard similarity of 0.8 differ in about 19 of 128 bits, four in either direction
-#: being one standard deviation; unrelated texts differ in about 64.
-SIMILAR_BITS = 25
 #: The pipeline's near-duplicate stage: bucket keys of a text, and minima in each.
 BANDS, BAND_ROWS = 24, 5
 _MIXINGS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs of one node from which they are joined in portions.
+_HOT = 10_000
 #: Buckets up to this size are compared by shifted arrays, larger ones by a search that grows clusters.
 _SMALL = 8
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -240,11 +239,6 @@ def _shingles(text: bytes, width: int = 5) -> np.ndarray:
                                  dtype=np.uint64, count=len(starts)))
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(32))
-
-
 def _bands(shingles: np.ndarray) -> np.ndarray:
     """Bucket keys: each hashes the least values of the shingles under five of 120 mixings. Two sets of similarity s agree in
     a mixing with chance s wherever they differ, and in a key of all with 1 - (1 - s ** 5) ** 24."""
@@ -317,23 +311,43 @@ def _tables(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(parts).combine_chunks()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
-    """The pairs whose 128-bit fingerprints of the shingles are at most ``distance`` bits apart."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("v0").alias(f"{name}0"), F.col("v1").alias(f"{name}1"))
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    return pairs.join(side("b"), "b").join(side("a"), "a").filter(apart <= distance).select("a", "b")
-
-
-def keep_one_similar(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame:
+def _sets(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, shingles): the shingle hashes of the members' texts, computed again from one text of each."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            sets = [_shingles(x).view(np.int64) for x in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    wanted = members.select("node", "_key").dropDuplicates(["node"])
+    # equal keys come from repeated rows only, which have equal sets
+    return cut(keyed.select("_key", "text").join(wanted, "_key").select("node", "text").mapInArrow(
+        run, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of at least 0.8: 9 |a & b| >= 4 (|a| + |b|). A node that
+    leads very many pairs is joined in sixteen portions."""
+    pairs = cut(pairs)
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(f"_n > {_HOT}").select("a", F.lit(True).alias("_hot"))
+    portion = F.when(F.col("_hot"), F.pmod("b", F.lit(16))).otherwise(0).cast("int")
+    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", portion.alias("_p"))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(0)))
+    led = (sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")).join(pairs.select("a").distinct(), "a", "left_semi")
+           .join(F.broadcast(hot), "a", "left").select("a", "_x", F.explode(copies).alias("_p")))
+    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b").join(led, ["a", "_p"])
+    return both.filter(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select("a", "b")
+
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates by five-word shingles.
 
     Texts that share a band of minima are candidates, whatever the shape of the edit. First every member of a bucket is
     compared with one leader; where a bucket then still has several components, all its pairs of different ones are.
-    Pairs are verified by the 128-bit fingerprint of the distinct shingles, at most ``distance`` bits apart. The row with the smallest doc_id stays (a null id only where all are null), of repeated ids the one with the smallest
+    A pair is linked where the exact Jaccard similarity of the distinct shingles is 0.8 or more. The row with the smallest doc_id stays (a null id only where all are null), of repeated ids the one with the smallest
     hash. Null and blank texts are one group. All columns stay.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "_key", "node", "size", "v0", "v1", "bands"]
+    names = ["doc_id", "_key", "node", "size", "bands"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -341,17 +355,15 @@ def keep_one_similar(docs: DataFrame, distance: int = SIMILAR_BITS) -> DataFrame
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(node),
                                               pa.array([len(x) for x in sets], pa.int64()),
-                                              *(pa.array(np.array([_majority(x) for x in part], dtype=np.uint64).view(np.int64))
-                                                for part in (sets, [_mixed(x) for x in sets])),
                                               pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=names)
 
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     prints = cut(keyed.select("doc_id", "_key", "text").mapInArrow(
-        run, f"doc_id {kind}, _key long, node long, size long, v0 long, v1 long, bands array<long>"))
+        run, f"doc_id {kind}, _key long, node long, size long, bands array<long>"))
     rows = prints.dropDuplicates(["node"]).select(F.explode("bands").alias("key"), *names[1:-1])
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "size")).alias("leader")).filter("_n > 1")
     members = cut(rows.join(shared, "key").drop("_n"))
-    near = partial(_verified, nodes=members.dropDuplicates(["node"]).select("node", "v0", "v1"), distance=distance)
+    near = partial(_verified, sets=_sets(keyed, members))
     fits = 5 * F.least("size", "leader.size") >= 4 * F.greatest("size", "leader.size")
     stars = near(members.filter(F.col("leader.node") != F.col("node")).filter(fits)
                  .select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct())

@@ -508,6 +508,44 @@ def test_block_edited_copies_leave_one(spark):
     assert {2 * g for g in range(40)} <= kept and len(kept) <= 43
 
 
+def test_similarity_is_exact_at_the_bound(spark):
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    data, joined = [], []
+    for g in range(60):  # 80 shingles of 100 in all are shared, or 79 of 99: 0.8, or just under
+        text = [name() for _ in range(84)]
+        if g % 2:
+            pair = text, text + [name() for _ in range(20)]
+        else:
+            pair = text[:-1] + [name()], text + [name() for _ in range(18)]
+        a, b = ({tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in pair)
+        if 5 * len(a & b) == 4 * len(a | b):
+            joined.append(g)
+        else:
+            assert 0.78 < len(a & b) / len(a | b) < 0.8
+        data += [(2 * g + i, " ".join(x), "xx", "a") for i, x in enumerate(pair)]
+    line = " ".join(name() for _ in range(6))
+    data += [(1000 + i, " ".join([" ".join(name() for _ in range(20)), *[line] * 200]), "xx", "a") for i in range(6)]
+    data += [(2000, " ".join(["za zb zc zd ze"] * 3), "xx", "a"), (2001, " ".join(["za zb zc zd ze"] * 90), "xx", "a")]
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(table(spark, data)).collect()}
+    assert len(joined) == 30
+    assert kept == {i for i, *_ in data} - {2 * g + 1 for g in joined} - {2001}
+
+
+def test_large_similar_groups_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_HOT", 5)
+    rng = random.Random(7)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    data = []
+    for g in range(3):  # each text is like its neighbours in the chain, but not like those further on
+        text = [name() for _ in range(60 + 12 * 8)]
+        data += [(100 * g + k, " ".join(text[6 * k:6 * k + 64]), "xx", "a") for k in range(16)]
+        base = [name() for _ in range(60)]
+        data += [(100 * g + 50 + k, " ".join([*base, f"nr{k}"]), "xx", "a") for k in range(40)]
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(table(spark, data)).collect()}
+    assert kept == {100 * g + k for g in range(3) for k in (0, 50)}
+
+
 # 9
 
 def brute_targets(sizes, weights=(5, 2, 1)):

@@ -56,6 +56,24 @@ def test_stages(stages):
         assert a.columns == b.columns, name
 
 
+def test_near_duplicates_equal_brute_force(stages):
+    before, after = stages[1][1].toPandas(), stages[1][2].toPandas()
+    words = {i: (t or "").lower().split() for i, t in zip(before.doc_id, before.text, strict=True)}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert sorted(after.doc_id) == sorted({find(i) for i in sets})
+
+
 def test_run_equals_its_stages(spark, stages):
     want = Counter(map(tuple, stages[-1][2].collect()))
     assert Counter(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == want
