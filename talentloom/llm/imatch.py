@@ -3,7 +3,8 @@
 The lexicon is the set of terms whose document frequency lies in a band: very common terms say nothing, very rare ones
 are mostly noise. Every randomised subset of it keeps a term by a hash of the term and the subset. A document's sorted
 distinct terms within a subset are hashed; the fingerprint is the list of these hashes, and the likeness of two
-fingerprints is the share of agreeing ones. Subsets come in three densities, so short and long texts both get steps.
+fingerprints is the share of agreeing ones. Sparse subsets give steps to long texts, dense ones to short texts; every term is
+in a dense subset, so that no term of the lexicon goes unseen.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,13 @@ BAND = (0.001, 0.05)
 #: One in so many terms is kept by each of the subsets of a density.
 DENSITIES = (64, 128, 256)
 SUBSETS_EACH = 16
-SUBSETS = len(DENSITIES) * SUBSETS_EACH
+#: One in so many terms is kept by each of the last sixteen subsets, four for each density.
+DENSE = (2, 4, 8, 16)
+_ONE_IN = tuple(np.repeat([*DENSITIES], SUBSETS_EACH).tolist() + np.repeat([*DENSE], SUBSETS_EACH // len(DENSE)).tolist())
+SUBSETS = len(_ONE_IN)
+_FIRST_DENSE = len(DENSITIES) * SUBSETS_EACH
 MAX_LEXICON = 8_000_000
-_HEX = 4
+_HEX = 8
 _FLUSH = 300_000
 _TERMS = re.compile(r"[^\W_]+")
 
@@ -38,15 +44,17 @@ def terms(text: str) -> set[str]:
     return set(_TERMS.findall(text.lower()))
 
 
+@lru_cache(maxsize=100_000)
 def memberships(term: str) -> int:
-    """Bit s is set where subset s keeps the term; a term's chances in the subsets are independent."""
-    out = 0
-    for d, one_in in enumerate(DENSITIES):
-        digest = hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=2 * SUBSETS_EACH, salt=bytes([d])).digest()
-        for s, draw in enumerate(np.frombuffer(digest, dtype="<u2").tolist()):
-            if draw % one_in == 0:
-                out |= 1 << (d * SUBSETS_EACH + s)
-    return out
+    """Bit s is set where subset s keeps the term; a term's chances in the subsets are independent. A term that no dense
+    subset draws goes to one of the first four of them."""
+    out, coded = 0, term.encode("utf-8", "surrogatepass")
+    for d in range(SUBSETS // SUBSETS_EACH):
+        digest = hashlib.blake2b(coded, digest_size=2 * SUBSETS_EACH, salt=bytes([d])).digest()
+        for s, draw in enumerate(np.frombuffer(digest, dtype="<u2").tolist(), d * SUBSETS_EACH):
+            if draw % _ONE_IN[s] == 0:
+                out |= 1 << s
+    return out if out >> _FIRST_DENSE else out | 1 << (_FIRST_DENSE + xxhash.xxh64_intdigest(coded, seed=1) % 4)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -76,29 +84,38 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> dict[str, int]
     fetched = inside.limit(MAX_LEXICON + 1).collect()
     if len(fetched) > MAX_LEXICON:
         raise ValueError("the band holds too many terms; raise its lower end")
-    return {r["term"]: bits for r in fetched if (bits := memberships(r["term"]))}
+    return {r["term"]: memberships(r["term"]) for r in fetched}
+
+
+def _written(value: int) -> str:
+    """32 bits of a hash, the lower half first."""
+    return f"{value & 0xFFFF:04x}{value >> 16 & 0xFFFF:04x}"
 
 
 def fingerprint(text: str, kept: dict[str, int]) -> tuple[str, int]:
     """The fingerprint, and a bit for each subset that holds terms of the text.
 
-    A text without any kept term is fingerprinted over all its terms, and one without terms over its characters, so that
-    different texts do not agree for want of terms.
+    A text without any term of the lexicon is fingerprinted by the same subsets of all its terms, and one without terms
+    over its characters, so that different texts do not agree for want of terms.
     """
     found = terms(text)
     chosen = sorted(found & kept.keys())
-    bits = np.array([kept[t] for t in chosen], dtype=np.uint64)
+    if not found:
+        coded = text.encode("utf-8", "surrogatepass")
+        return "".join(_written(xxhash.xxh64_intdigest(coded, seed=s)) for s in range(SUBSETS)), (1 << SUBSETS) - 1 if text else 0
     if not chosen:
-        own = sorted(found) or [text]
-        value = xxhash.xxh64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) & 0xFFFF
-        return f"{value:0{_HEX}x}" * SUBSETS, (1 << SUBSETS) - 1 if text else 0
+        chosen = sorted(found)
+        bits = np.array([memberships(t) for t in chosen], dtype=np.uint64)
+    else:
+        bits = np.array([kept[t] for t in chosen], dtype=np.uint64)
     hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in chosen), dtype=np.uint64,
                          count=len(chosen))
-    parts, filled = [], 0
-    for s in range(SUBSETS):
-        part = hashes[(bits >> np.uint64(s)) & np.uint64(1) == 1]
-        filled |= (len(part) > 0) << s
-        parts.append(f"{xxhash.xxh64_intdigest(part.tobytes()) & 0xFFFF:0{_HEX}x}" if len(part) else "0" * _HEX)
+    inside = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    parts, filled, at, joined = [], 0, 0, hashes[np.nonzero(inside)[1]].tobytes()
+    for s, size in enumerate((8 * inside.sum(axis=1, dtype=np.int64)).tolist()):
+        filled |= (size > 0) << s
+        parts.append(_written(xxhash.xxh64_intdigest(joined[at:at + size])) if size else "0" * _HEX)
+        at += size
     return "".join(parts), filled
 
 

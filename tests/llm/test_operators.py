@@ -159,6 +159,32 @@ def test_imatch_fingerprint_by_hand():
     assert imatch.fingerprint("", kept)[0] == imatch.fingerprint(None or "", kept)[0]
 
 
+def test_imatch_sees_every_term_of_the_lexicon():
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(3000)]
+    kept = {t: imatch.memberships(t) for t in names}
+    assert all(kept.values())
+    base = names[:12]
+    own = imatch.fingerprint(" ".join(base), kept)
+    for t in names[12:512]:  # one more term, and one in place of another
+        assert imatch.fingerprint(" ".join([*base, t]), kept)[0] != own[0]
+        assert imatch.fingerprint(" ".join([*base[1:], t]), kept)[0] != own[0]
+
+
+def test_imatch_of_texts_without_lexicon_terms():
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(2000)]
+    likes = []
+    for k in range(60):  # one changed term of thirty leaves a part of the subsets
+        part = names[30 * k:30 * k + 30]
+        a, b = (imatch.fingerprint(" ".join(x), {}) for x in (part, [*part[1:], "neu"]))
+        assert a[0] != b[0]
+        likes.append(imatch.likeness(a, b))
+    assert min(likes) > 0 and 0.3 < np.mean(likes) < 1
+    assert len({imatch.fingerprint(t, {})[0] for t in names}) == len(names)
+    assert len({imatch.fingerprint("!" * n, {})[0] for n in range(1, 1500)}) == 1499  # 16 bits held about 17 pairs
+
+
 # 3
 
 def brute_repeats(texts, length):
