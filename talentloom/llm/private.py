@@ -43,11 +43,17 @@ _BRACKETED = r"\s*[\(\[\{<]\s*(?:%s)\s*[\)\]\}>]\s*"
 _AT = re.compile(_BRACKETED % "at|@", re.I)
 _DOT = re.compile(_BRACKETED % r"dot|punto|point|punkt|\.", re.I)
 _SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9_%+-]+)*(\s+at\s+)"
-                     r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+)[A-Za-z0-9-]+", re.I)
+                     r"(?:[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+)[A-Za-z0-9-]+"
+                     r"|(?:[A-Za-z0-9-]+\.)+(?-i:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9-]))", re.I)
 _SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
 _NUMBER_WORD = re.compile(r"(?<![A-Za-z])(?:%s)(?![A-Za-z])" % "|".join(SPELLED), re.I)
+_NUMERAL = re.compile(r"(?:(?<![A-Za-z])(?:%s)(?![A-Za-z])|(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9]))" % "|".join(SPELLED), re.I)
+_MIXED = re.compile(r"[0-9](?:[\s,.()-]+|\s*dot\s*)(?:%s)(?![A-Za-z])|(?<![A-Za-z])(?:%s)(?:[\s,.()-]+|\s*dot\s*)[0-9]"
+                    % (("|".join(SPELLED),) * 2), re.I)
+_DOT_OF_NUMBERS = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 _DOTS_SPOKEN = re.compile(r"\s*dot\s*", re.I)
-_TRIGGERS = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|punto|point|punkt|\.)\s*[\)\]\}>]|\sdot\s", re.I)
+_TRIGGERS = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|punto|point|punkt|\.)\s*[\)\]\}>]|\sdot\s"
+                       r"|[A-Za-z0-9_%+-]\s+at\s+[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
 
 
 def _digits(text: str) -> str:
@@ -125,7 +131,7 @@ def _fold_letters(copy: _Copy) -> None:
 def _fold_signs(copy: _Copy) -> None:
     copy.replace([(*m.span(), "@") for m in _AT.finditer(copy.text)])
     copy.replace([(*m.span(), ".") for m in _DOT.finditer(copy.text)])
-    if " dot" in copy.text.lower() or "\tdot" in copy.text.lower():
+    if re.search(r"\s(?:dot|at)\s", copy.text, re.I):
         changes = []
         for m in _SPOKEN.finditer(copy.text):
             changes += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group())]
@@ -133,29 +139,39 @@ def _fold_signs(copy: _Copy) -> None:
         copy.replace(sorted(changes))
         copy.replace([(*m.span(), ".") for m in re.finditer(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", copy.text, re.I)
                       if "@" in copy.text[copy.text.rfind(" ", 0, m.start()) + 1:m.start()]])
+        copy.replace([(*m.span(), ".") for m in _DOT_OF_NUMBERS.finditer(copy.text)])
 
 
 def _fold_numbers(copy: _Copy) -> None:
-    """Runs of at least four spelled digits become digits; "plus" before a run becomes +, "dot" between runs a full stop."""
-    found, runs = list(_NUMBER_WORD.finditer(copy.text)), []
-    for m in found:
+    """Runs of at least four digits, spelled ones and numerals together, become one number if any is spelled; "plus" before
+    a run becomes +, "dot" and a full stop next to a numeral a full stop. Which runs are identifiers is left to the patterns."""
+    runs: list[list[re.Match]] = []
+    for m in _NUMERAL.finditer(copy.text):
         gap = copy.text[runs[-1][-1].end():m.start()] if runs else None
-        if runs and (not gap.strip(" \t\n\r,.-") or _DOTS_SPOKEN.fullmatch(gap)):
+        numeral = runs and (m.group()[0].isdigit() or runs[-1][-1].group()[0].isdigit())
+        if runs and (not gap.strip(" \t\n\r,.-()" if numeral else " \t\n\r,.-") or _DOTS_SPOKEN.fullmatch(gap)):
             runs[-1].append(m)
         else:
             runs.append([m])
     changes = []
     for run in runs:
-        if len(run) < 4:
+        words = [m.group() for m in run]
+        if all(w[0].isdigit() for w in words) or sum(len(w) if w[0].isdigit() else 1 for w in words) < 4:
             continue
+        dotted = any(_DOTS_SPOKEN.fullmatch(g) or g == "." for a, b in zip(run, run[1:]) for g in [copy.text[a.end():b.start()]])
         before = re.search(r"plus[\s,]+\Z", copy.text[max(0, run[0].start() - 12):run[0].start()], re.I)
         if before:
             changes.append((run[0].start() - len(before.group()), run[0].start(), "+"))
         for i, m in enumerate(run):
             if i:
                 gap = copy.text[run[i - 1].end():m.start()]
-                changes.append((run[i - 1].end(), m.start(), "." if _DOTS_SPOKEN.fullmatch(gap) else ""))
-            changes.append((*m.span(), SPELLED[m.group().lower()]))
+                numerals = words[i - 1][0].isdigit() + words[i][0].isdigit()
+                if _DOTS_SPOKEN.fullmatch(gap) or (gap == "." and numerals):
+                    changes.append((run[i - 1].end(), m.start(), "."))
+                elif numerals < 2 or ("," in gap and not dotted):  # else what parts two numerals is left as it is
+                    changes.append((run[i - 1].end(), m.start(), ""))
+            if not words[i][0].isdigit():
+                changes.append((*m.span(), SPELLED[words[i].lower()]))
     copy.replace(changes)
 
 
@@ -169,7 +185,7 @@ def normalise(text: str) -> _Copy:
 
 def _disguised(text: str) -> bool:
     """Whether a transducer may find something to rewrite that matters: an accent alone is no disguise."""
-    if _TRIGGERS.search(text):
+    if _TRIGGERS.search(text) or _MIXED.search(text):
         return True
     if not text.isascii() and any(c in _UNSEEN or c in _PLAIN or unicodedata.normalize("NFKC", c).isascii()
                                   or unicodedata.decimal(c, None) is not None for c in set(text) if c > "\x7f"):

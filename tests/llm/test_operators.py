@@ -406,6 +406,29 @@ def test_disguises_map_back(text, kind, source):
     assert source in found or (source == "zero" and "jo​hn@mail.com" in found), (found, base)
 
 
+@pytest.mark.parametrize("text,kind,source", [
+    ("host 192 dot 168 dot 1 dot 10 up", "ip", "192 dot 168 dot 1 dot 10"),
+    ("host 192.168.one.10 up", "ip", "192.168.one.10"),
+    ("host 192 dot 168 dot one dot 1, 500 users", "ip", "192 dot 168 dot one dot 1"),
+    ("host 192 dot one six eight dot 1 dot one zero up", "ip", "192 dot one six eight dot 1 dot one zero"),
+    ("write jane at example.com today", "email", "jane at example.com"),
+    ("write jane dot doe at mail.example.co.uk.", "email", "jane dot doe at mail.example.co.uk"),
+    ("call +1 202 five five five 01 two three now", "phone", "+1 202 five five five 01 two three"),
+    ("call +44 20 seven nine four 6 oh nine 58", "phone", "+44 20 seven nine four 6 oh nine 58"),
+    ("call +1 (202) 555 01 two three", "phone", "+1 (202) 555 01 two three"),
+    ("card 4111 one one one one 1111 11 one one ok", "card", "4111 one one one one 1111 11 one one"),
+])
+def test_partly_spelled_identifiers(text, kind, source):
+    base, more = private.find(text)
+    assert base == brute_plain(text)
+    assert source in [text[a:b] for a, b, k in more if k == kind], more
+
+
+def test_numbers_in_prose_are_no_identifiers():
+    for text in ("in 1999, 2004, one of 300", "at 10.5 dot 3", "we met at noon.Then one went", "two at 3.4 and 5 dot 6 or seven", "oh 10, 5 at 2.15"):
+        assert private.find(text) == ([], []), text
+
+
 def test_clean_texts_get_no_spans():
     for text in ("we met at noon and a dot of paint", "one or two of three", "привет мир", "café 10.5 at 3.4", ""):
         assert private.find(text) == ([], [])
