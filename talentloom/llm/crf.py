@@ -7,13 +7,15 @@ word; a document's language is the one with the largest mean probability.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import id_crc, strings, text_batches
@@ -207,30 +209,36 @@ def predict(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarra
 def train(docs: DataFrame, keep: Column | None = None, rows: int = ROWS, rows_per_language: int = ROWS_PER_LANGUAGE,
           runs: int = RUNS) -> Model | None:
     """Fits on rows with a language (and ``keep``): a hash of the id draws about ``rows`` of them, and more of a language
-    that would have fewer than ``rows_per_language``. Their whole texts are cut into runs of ten words; at most ``runs``
-    of these, drawn by hash, reach the driver. All bounds are independent of the size of the table."""
+    that would have fewer than ``rows_per_language``. Their whole texts are cut into runs of ten words. At most ``runs`` of
+    these reach the driver: one of each language in turn, and within a language one of each row in turn, by hash. So
+    neither long texts nor frequent languages take the share of others. All bounds are independent of the size of the table."""
     labelled = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     labelled = labelled if keep is None else labelled.filter(keep)
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / F.lit(float(1 << 53))
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     share = F.greatest(F.lit(rows / max(1, total)), F.lit(float(rows_per_language)) / F.col("_n"))
+    most = F.ceil(F.lit(4.0 * runs) / (F.col("_n") * F.least(share, F.lit(1.0))))  # runs a row may give, with room for short rows
     sample = (labelled.join(F.broadcast(sizes.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"))
-              .filter(draw < share).select("doc_id", "text", "lang"))
+              .filter(draw < share).select("doc_id", "text", "lang", most.cast("long").alias("most")))
 
     def cut_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 64):
-            out = [(i, at, " ".join(part), lang)
-                   for i, text, lang in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")),
-                                            batch.column("lang").to_pylist(), strict=True)
-                   for found in [words(text)] for at in range(0, len(found), RUN_WORDS)
-                   for part in [found[at:at + RUN_WORDS]]]
+            out = []
+            for i, text, lang, limit in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")),
+                                            batch.column("lang").to_pylist(), batch.column("most").to_pylist(), strict=True):
+                found = words(text)
+                places = ((xxhash.xxh64_intdigest(f"{i}:{at}", seed=23), at) for at in range(0, len(found), RUN_WORDS))
+                out += [(str(i), turn, at, " ".join(found[at:at + RUN_WORDS]), lang)
+                        for turn, (_, at) in enumerate(heapq.nsmallest(limit, places))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in (*([str(o[0]) for o in out],), *(
-                    [o[k] for o in out] for k in (1, 2, 3)))], names=["id", "at", "run", "lang"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)],
+                                                 names=["id", "turn", "at", "run", "lang"])
 
-    cut = sample.mapInArrow(cut_runs, "id string, at long, run string, lang string")
-    drawn = cut.orderBy(F.xxhash64(F.lit(23), "id", "at", "run"), "id", "at", "run", "lang").limit(runs).collect()
+    cut = sample.mapInArrow(cut_runs, "id string, turn long, at long, run string, lang string")
+    order = [F.xxhash64(F.lit(23), "id", "at", "run"), F.col("id"), F.col("at"), F.col("run")]
+    ranked = cut.withColumn("_turn", F.row_number().over(Window.partitionBy("lang").orderBy("turn", *order)))
+    drawn = ranked.orderBy("_turn", *order, "lang").limit(runs).collect()
     return fit([(r["run"].split(), r["lang"]) for r in drawn])
 
 

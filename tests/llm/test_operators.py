@@ -700,3 +700,18 @@ def test_language(spark, docs, empty):
     assert kept.columns == table(spark, data).columns and not {500, 501, 502} & {r["doc_id"] for r in kept.collect()}
     assert crf.identify(empty).count() == 0 and crf.with_language(empty).count() == 0
     assert {r["lang_pred"] for r in crf.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_short_texts_of_a_language_are_learned_beside_long_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = {"xx": ("ba", "ke", "ti", "no"), "yy": ("él", "ou", "ça", "eu"), "zz": ("wy", "öd", "üf", "gä")}
+    make = lambda k, n: " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    data = [(i, make("xx", 300), "xx", None) for i in range(80)] + [(100, make("xx", 60_000), "xx", None)]
+    data += [(200 + i, make("yy", 10), "yy", None) for i in range(10)] + [(300 + i, make("zz", 30), "zz", None) for i in range(20)]
+    drawn, fit = [], crf.fit
+    monkeypatch.setattr(crf, "fit", lambda runs: drawn.extend(runs) or fit(runs))
+    model = crf.train(table(spark, data), runs=400)
+    counts = Counter(k for _, k in drawn)
+    assert counts == {"yy": 10, "zz": 60, "xx": 330} and model.labels == ["xx", "yy", "zz"]
+    assert sum(" ".join(r) in data[80][1] for r, k in drawn if k == "xx") < 20
+    assert crf.predict(model, [make("yy", 12)])[0] == ["yy"]
