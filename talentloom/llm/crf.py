@@ -183,8 +183,9 @@ def _pair_chances(own, chance, at, transitions, sizes) -> np.ndarray:
     return (joint * chance[at][:, None, :]).sum(axis=0)
 
 
-def predict(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, scores (the mean probability of that language), and words per text."""
+def predict(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, scores (the mean probability of that language), words, and certainty (the mean over the words of their
+    likeliest language's probability) per text."""
     known: dict[str, int] = {}
     ids: list[int] = []
     lengths, owner, counts = [], [], np.zeros(len(texts), dtype=np.int64)
@@ -197,13 +198,15 @@ def predict(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarra
                 owner.append(at)
                 counts[at] += len(found)
     if model is None or not ids:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts)), counts
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), counts, np.zeros(len(texts))
     chance = forward_backward(emissions(list(known), model.weights)[np.array(ids)], np.array(lengths), model.transitions)
     text_of = np.repeat(np.array(owner), np.array(lengths))
     sums = np.stack([np.bincount(text_of, chance[:, k], len(texts)) for k in range(len(model.labels))], axis=1)
     best = sums.argmax(axis=1)
     share = sums[np.arange(len(texts)), best] / np.maximum(counts, 1)
-    return [model.labels[b] if c else UNKNOWN for b, c in zip(best, counts, strict=True)], np.clip(share, 0, 1), counts
+    certain = np.bincount(text_of, chance.max(axis=1), len(texts)) / np.maximum(counts, 1)
+    languages = [model.labels[b] if c else UNKNOWN for b, c in zip(best, counts, strict=True)]
+    return languages, np.clip(share, 0, 1), counts, np.clip(certain, 0, 1)
 
 
 def train(docs: DataFrame, keep: Column | None = None, rows: int = ROWS, rows_per_language: int = ROWS_PER_LANGUAGE,
@@ -244,13 +247,14 @@ def train(docs: DataFrame, keep: Column | None = None, rows: int = ROWS, rows_pe
 
 def _columns(docs: DataFrame, model: Model | None, kept: list[str], text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words")).schema
+    schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"),
+                         F.lit(0.0).alias("certainty")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            languages, scores, counts = predict(shared.value, strings(batch.column(text)))
+            languages, scores, counts, certain = predict(shared.value, strings(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(languages, pa.string()),
-                                              pa.array(scores), pa.array(counts)], names=schema.names)
+                                              pa.array(scores), pa.array(counts), pa.array(certain)], names=schema.names)
 
     columns = list(dict.fromkeys([*kept, text]))
     return docs.select(*columns).mapInArrow(run, schema)
@@ -269,10 +273,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """``docs`` (all columns) with the rows whose text has a language that reaches a mean probability of ``least``."""
+    """``docs`` (all columns) with the rows whose words have a likeliest language with a mean probability of ``least``; it
+    need not be the same one for all words, so a text that mixes languages stays."""
     model = train(docs, id_crc() % 5 != 0)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # the answer's columns must not clash with the table's
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     found = _columns(renamed, model, list(names.values()), names["text"])
-    return (found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return (found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("certainty") >= least))
             .select(*(F.col(n).alias(c) for c, n in names.items())))

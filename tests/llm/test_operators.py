@@ -715,3 +715,16 @@ def test_short_texts_of_a_language_are_learned_beside_long_ones(spark, monkeypat
     assert counts == {"yy": 10, "zz": 60, "xx": 330} and model.labels == ["xx", "yy", "zz"]
     assert sum(" ".join(r) in data[80][1] for r, k in drawn if k == "xx") < 20
     assert crf.predict(model, [make("yy", 12)])[0] == ["yy"]
+
+
+def test_mixed_texts_stay(spark):
+    rng = random.Random(9)
+    kinds = {"ww": ("pli", "gru", "sko"), "xx": ("ba", "ke", "ti", "no"), "yy": ("él", "ou", "ça", "eu"), "zz": ("wy", "öd", "üf", "gä")}
+    make = lambda k: " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randint(1, 3))) for _ in range(20))
+    data = [(i, make(k), k, None) for i in range(80) for k in (["ww", "xx", "yy", "zz"][i % 4],)]
+    data += [(500, "\n".join(map(make, kinds)), None, None), (501, "\n".join(map(make, ["xx", "yy", "zz"])), None, None),
+             (502, "12 !", None, None)]
+    scores = {r["doc_id"]: r["score"] for r in crf.identify(table(spark, data)).collect()}
+    assert scores[500] < 0.4 and scores[501] < 0.4
+    kept = {r["doc_id"] for r in crf.with_language(table(spark, data)).collect()}
+    assert {500, 501} <= kept and 502 not in kept and len(kept) == 82
