@@ -27,6 +27,8 @@ BANDS, BAND_ROWS = 24, 5
 _MIXINGS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Pairs of one node from which they are joined in portions.
 _HOT = 10_000
+#: Turns in which texts are compared with leaders, before all pairs of different components are.
+_TURNS = 3
 #: Buckets up to this size are compared by shifted arrays, larger ones by a search that grows clusters.
 _SMALL = 8
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -341,8 +343,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def keep_one_similar(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates by five-word shingles.
 
-    Texts that share a band of minima are candidates, whatever the shape of the edit. First every member of a bucket is
-    compared with one leader; where a bucket then still has several components, all its pairs of different ones are.
+    Texts that share a band of minima are candidates, whatever the shape of the edit. In a few turns every text is compared
+    with the leader of one of its buckets; then all pairs of a bucket that are still of different components are.
     A pair is linked where the exact Jaccard similarity of the distinct shingles is 0.8 or more. The row with the smallest doc_id stays (a null id only where all are null), of repeated ids the one with the smallest
     hash. Null and blank texts are one group. All columns stay.
     """
@@ -361,19 +363,25 @@ def keep_one_similar(docs: DataFrame) -> DataFrame:
     prints = cut(keyed.select("doc_id", "_key", "text").mapInArrow(
         run, f"doc_id {kind}, _key long, node long, size long, bands array<long>"))
     rows = prints.dropDuplicates(["node"]).select(F.explode("bands").alias("key"), *names[1:-1])
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "size")).alias("leader")).filter("_n > 1")
-    members = cut(rows.join(shared, "key").drop("_n"))
+    members = cut(rows.join(rows.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"))
     near = partial(_verified, sets=_sets(keyed, members))
-    fits = 5 * F.least("size", "leader.size") >= 4 * F.greatest("size", "leader.size")
-    stars = near(members.filter(F.col("leader.node") != F.col("node")).filter(fits)
-                 .select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct())
-    roots = components(stars)
-    placed = (members.select("key", "node", "size").join(roots, "node", "left")
-              .select("key", "node", "size", F.coalesce("root", "node").alias("component")))
-    several = placed.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).filter("_l < _h").select("key")
-    rest = cut(near(_cross_pairs(placed.join(several, "key", "left_semi"))))
-    if rest.limit(1).count():
-        roots = components(rest.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    placed, roots = members.select("key", "node", "size", F.col("node").alias("component")), None
+    for turn in range(_TURNS + 1):
+        bounds = placed.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"),
+                                           F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "size", "component")).alias("_led"))
+        several = bounds.filter("_l < _h").select("key", F.col("_led.node").alias("a"), F.col("_led.size").alias("_s"),
+                                                  F.col("_led.component").alias("_c"))
+        if turn < _TURNS:
+            fits = 5 * F.least("size", "_s") >= 4 * F.greatest("size", "_s")
+            pairs = (placed.join(several, "key").filter((F.col("component") != F.col("_c")) & fits)
+                     .groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b"))
+        else:
+            pairs = _cross_pairs(placed.join(several.select("key"), "key", "left_semi"))
+        found = cut(near(pairs))
+        if roots is None or found.limit(1).count():
+            roots = components(found if roots is None else found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+            placed = cut(members.select("key", "node", "size").join(roots, "node", "left")
+                         .select("key", "node", "size", F.coalesce("root", "node").alias("component")))
     placed = prints.select("doc_id", "_key", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
     kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key")
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
