@@ -6,7 +6,7 @@ import string
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are what lies between ASCII white space; ``bytes.split()`` cuts at the same six bytes.
@@ -54,10 +54,9 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     table = cut(ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_spread")
                 .withColumn("_at", F.monotonically_increasing_id()))
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = (table.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n")))
-    ends = counts.alias("a").join(F.broadcast(counts.select(F.col("_part").alias("_before"), F.col("_n").alias("_m"))),
-                                  F.col("_before") < F.col("_part"), "left")
-    starts = ends.groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_start"))
+    counts = table.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (table.join(F.broadcast(starts), F.shiftright("_at", 33) == F.col("_part"))
             .withColumn(name, F.col("_start") + place).drop("_at", "_part", "_start"))
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentloom.llm import crf, feistel, imatch, lattice, pivotal, private, ranking, simhash, suffixes, tiling
+from talentloom.llm import (crf, feistel, imatch, lattice, ledger, pivotal, private, ranking, simhash, suffixes, tiling, trie,
+                            variants)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,18 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.keep(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -62,7 +75,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lattice_score, op2_imatch_fingerprints, op3_suffix_repeats, op4_string_tiling, op5_feistel_shards,
-                                    op6_pairwise_quality, op7_private_spans, op8_simhash_variants, op9_pivotal_mix, op10_crf_language, pipeline)}
+                                    op6_pairwise_quality, op7_private_spans, op8_simhash_variants, op9_pivotal_mix, op10_crf_language,
+                                    op11_conversation_trie, op12_rule_ledger, op13_spelling_variants, pipeline)}
 
 
 def _shard_sql(shards: int = 24, seed: int = 0) -> str:
