@@ -89,8 +89,8 @@ def _prepared(spark: SparkSession, sf: str) -> DataFrame:
     return fe.prepare(D.candidates(spark, sf))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return pp.score_pairs(_candidates(spark, sf), _profiles(spark, sf), D.AS_OF)
+def _scored(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
+    return pp.score_pairs(_candidates(spark, sf), _profiles(spark, sf), D.AS_OF, k=k)
 
 
 def _copies(spark: SparkSession, sf: str) -> int:
@@ -98,7 +98,7 @@ def _copies(spark: SparkSession, sf: str) -> int:
 
 
 def _ranked(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
-    return rk.rank_candidates(_scored(spark, sf), k, _copies(spark, sf))
+    return rk.rank_candidates(_scored(spark, sf, k), k)
 
 
 def _kept(rows: DataFrame, purpose: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from talentloom import settings as S
 from talentloom.functions import scalars as fx
 from talentloom.operators import authenticity as au
+from talentloom.operators import blocks as bl
 from talentloom.operators import engagement as en
 from talentloom.operators import evidence as ev
 from talentloom.operators import features as fe
@@ -180,6 +181,7 @@ class Bundle:
     jobs: DataFrame
     term_chunks: int
     word_chunks: int
+    matrix: bl.JobMatrix
 
 
 def job_bundles(profiles: DataFrame, max_bytes: int = MAX_BUNDLE_BYTES,
@@ -205,9 +207,9 @@ def job_bundles(profiles: DataFrame, max_bytes: int = MAX_BUNDLE_BYTES,
         words = ["terms", "words", "term_chunks", "word_chunks"]
         local = session.createDataFrame([tuple(row[c] for c in words)],
                                         T.StructType([T.StructField(c, kinds[c]) for c in words]))
-        jobs = session.createDataFrame([(j,) for j in row["jobs"]],
-                                       T.StructType([T.StructField("job", kinds["jobs"].elementType)]))
-        bundles.append(Bundle(local, jobs, row["term_chunks"], row["word_chunks"]))
+        jobs = session.createDataFrame(list(enumerate(row["jobs"])), T.StructType([
+            T.StructField("pos", T.IntegerType()), T.StructField("job", kinds["jobs"].elementType)]))
+        bundles.append(Bundle(local, jobs, row["term_chunks"], row["word_chunks"], bl.job_matrix(row["jobs"])))
     return bundles
 
 
@@ -273,12 +275,12 @@ def _pair_columns(term_chunks: int, word_chunks: int) -> list[Column]:
 
 
 def pair_rows(matched: DataFrame, bundle: Bundle) -> DataFrame:
-    """One row per (job, candidate) with the job-dependent features.
+    """One row per (job, candidate) with the job-dependent features; of rows that name a job's position, only that job's.
 
     Every feature is a column of its own: what a caller does not select is pruned.
     """
-    kept = [c for c in matched.columns if c not in _PAIR_HELPERS]
-    pairs = matched.join(F.broadcast(bundle.jobs), F.lit(True))
+    kept = [c for c in matched.columns if c not in (*_PAIR_HELPERS, "pos")]
+    pairs = matched.join(F.broadcast(bundle.jobs), "pos" if "pos" in matched.columns else F.lit(True))
     return pairs.select(*kept, *_pair_columns(bundle.term_chunks, bundle.word_chunks))
 
 
@@ -343,16 +345,19 @@ def score_rows(pairs: DataFrame) -> DataFrame:
             .select("*", _final_score()))
 
 
-def score_bundle(facts: DataFrame, bundle: Bundle) -> DataFrame:
-    return score_rows(pair_rows(match_terms(facts, bundle), bundle))
+def score_bundle(facts: DataFrame, bundle: Bundle, k: int | None = None) -> DataFrame:
+    """All pairs of the bundle, or with ``k`` those that may be among the k best candidates of their job."""
+    matched = match_terms(facts, bundle)
+    return score_rows(pair_rows(matched if k is None else bl.open_pairs(matched, bundle.matrix, k), bundle))
 
 
 def score_pairs(candidates: DataFrame, profiles: DataFrame, as_of: dt.date | str,
-                max_bytes: int = MAX_BUNDLE_BYTES) -> DataFrame:
-    """Every candidate against every job, with all features and scores."""
+                max_bytes: int = MAX_BUNDLE_BYTES, k: int | None = None) -> DataFrame:
+    """Every candidate against every job, with all features and scores; with ``k`` only pairs that may be among a job's k best
+    candidates, which is enough for the top k and leaves the rest unscored."""
     facts = candidate_facts(candidates, as_of)
     scored = None
     for bundle in job_bundles(profiles, max_bytes):
-        part = score_bundle(facts, bundle)
+        part = score_bundle(facts, bundle, k)
         scored = part if scored is None else scored.unionByName(part)
     return scored
