@@ -14,8 +14,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
-    return simhash.keep_one_similar(docs)
+    """Keeps one document of each group that fingerprints of four-word shingles, at most four bits apart, link."""
+    return simhash.keep_one(docs, distance=4, width=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
