@@ -22,6 +22,20 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits as text that name the values of some columns; a null is not an empty text."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; only a session on one machine may set its own."""
     context = spark.sparkContext

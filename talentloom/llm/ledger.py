@@ -19,13 +19,14 @@ from talentloom.llm.common import text_batches, utf8
 
 #: Characters that count as symbols, in their order.
 SYMBOLS = b"#*$%&|<>"
+#: Characters that begin a list item.
+BULLETS = tuple(x.encode() for x in "-*•")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_capitals",
             "n_small", "n_digits", "n_calls", "n_bullets")
 _PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _CAPITALS, _SMALL, _DIGITS = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 _LETTER = re.compile(rb"[A-Za-z\x80-\xFF]")
-_BULLETS = tuple(x.encode() for x in "-*•")
 
 #: Rules in the order of their bits; a rule that is true fails the document. Add new ones at the end.
 RULES: dict[str, Column | str] = {
@@ -99,7 +100,7 @@ def measure(data: bytes) -> tuple[int, ...]:
     lettered = np.fromiter((_LETTER.search(w) is not None for w in words), dtype=bool, count=len(words))
     return (len(ids), len(data.translate(None, b" \t\n\v\f\r").decode("utf-8", "replace")), count(SYMBOLS), len(lines),
             len(whole) - len(set(whole)), _repeated(ids, len(words)), int(lettered[ids].sum()) if len(ids) else 0,
-            count(_CAPITALS), count(_SMALL), count(_DIGITS), count(b"!"), sum(line.startswith(_BULLETS) for line in lines))
+            count(_CAPITALS), count(_SMALL), count(_DIGITS), count(b"!"), sum(line.startswith(BULLETS) for line in lines))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import WORD, cut, numbered
+from talentloom.llm.common import WORD, cut, free_name, numbered, row_key
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -118,22 +118,23 @@ def copies(rows: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS,
 def _slim(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-                       F.xxhash64("doc_id", "text", "source").alias("key"))
+                       row_key("doc_id", "text", "source").alias("key"))
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row; size counts words, null texts have none."""
-    return copies(_slim(docs), seed).select("doc_id", "size", "source_size", "target", "copies",
+    return copies(cut(_slim(docs)), seed).select("doc_id", "size", "source_size", "target", "copies",
                                             (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it was given copies. Rows equal in id, text and source share the
     copies that they got together."""
-    given = copies(_slim(docs), seed).groupBy("key").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
-    rows = keyed.join(given.withColumnRenamed("key", "_key"), "_key")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    own = F.floor(F.col("_all") / F.col("_rows")) + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    times = rows.withColumn("_times", own.cast("int")).filter("_times > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    key, copy = free_name(docs, "_key"), free_name(docs, "_copy")
+    given = copies(cut(_slim(docs)), seed).groupBy(F.col("key").alias(key)).agg(
+        F.struct(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")).alias(copy))
+    rows = docs.withColumn(key, row_key("doc_id", "text", "source")).join(given, key)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
+    everyone, rest = F.floor(F.col(f"{copy}.all") / F.col(f"{copy}.rows")), F.col(f"{copy}.all") % F.col(f"{copy}.rows")
+    times = rows.withColumn(copy, (everyone + F.when(place <= rest, 1).otherwise(0)).cast("int")).filter(F.col(copy) > 0)
+    return times.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)

@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -39,13 +40,23 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _PLAIN = {c: plain for plain, others in LOOKALIKES.items() for c in others}
 _UNSEEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _ODD = re.compile(r"[^\x00-\x7f]")
-_BRACKETED = r"\s*[\(\[\{<]\s*(?:%s)\s*[\)\]\}>]\s*"
+_BRACKETED = r"[\(\[\{<]\s*(?:%s)\s*[\)\]\}>]"
 _AT = re.compile(_BRACKETED % "at|@", re.I)
 _DOT = re.compile(_BRACKETED % r"dot|punto|point|punkt|\.", re.I)
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9_%+-]+)*(\s+at\s+)"
-                     r"(?:[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+)[A-Za-z0-9-]+"
-                     r"|(?:[A-Za-z0-9-]+\.)+(?-i:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9-]))", re.I)
-_SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
+_TOKEN = re.compile(r"\S+")
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+#: Endings of domains that a spoken address may have. Country codes that are common words are left out.
+ENDINGS = frozenset("""com org net edu gov mil int info biz io app dev name pro co online site shop store tech cloud email mail
+    blog news example test invalid local lan uk de fr es it nl be ch at se dk fi pl cz ru ua eu us ca mx br ar cl au nz jp cn
+    kr hk tw sg ie pt gr hu ro tr za il ae""".split())
+#: Words that stand before "at" in prose and are no mailbox.
+PROSE = frozenset("""a about again alive all also am an and any anyone are as ask available back be been being bought but buy call
+    came check click come contact did do eat everyone find for found free from get go goes gone good had has have he her here
+    him his home hosted i in is it its join just keep kept know learn left live lived lives located look looks made me meet
+    met more my near not now of off on one online only open or order our out page people read reach see seen sell sent set she
+    shop site sit sold so someone start stay stop sure team than that the their them then there these they this those time to
+    today up us visit was we website well went were what when where who will with work works write you your""".split())
 _NUMBER_WORD = re.compile(r"(?<![A-Za-z])(?:%s)(?![A-Za-z])" % "|".join(SPELLED), re.I)
 _NUMERAL = re.compile(r"(?:(?<![A-Za-z])(?:%s)(?![A-Za-z])|(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9]))" % "|".join(SPELLED), re.I)
 _MIXED = re.compile(r"[0-9](?:[\s,.()-]+|\s*dot\s*)(?:%s)(?![A-Za-z])|(?<![A-Za-z])(?:%s)(?:[\s,.()-]+|\s*dot\s*)[0-9]"
@@ -100,18 +111,21 @@ class _Copy:
     """A text under rewriting: characters, and the source span of each."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts = text, np.arange(len(text))
+        self.ends = self.starts + 1
 
     def replace(self, changes: list[tuple[int, int, str]]) -> None:
-        """Puts new text for the given spans (ascending); each new character stands for the whole of its span."""
+        """Puts new text for the given spans (ascending, not empty); each new character stands for the whole of its span."""
+        if not changes:
+            return
         text, starts, ends, at = [], [], [], 0
         for a, b, new in changes:
             text += [self.text[at:a], new]
-            starts += self.starts[at:a] + ([self.starts[a]] * len(new) if b > a else [])
-            ends += self.ends[at:a] + ([self.ends[b - 1]] * len(new) if b > a else [])
+            starts += [self.starts[at:a], np.full(len(new), self.starts[a])]
+            ends += [self.ends[at:a], np.full(len(new), self.ends[b - 1])]
             at = b
         self.text = "".join([*text, self.text[at:]])
-        self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
+        self.starts, self.ends = np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]])
 
 
 def _fold_letters(copy: _Copy) -> None:
@@ -128,17 +142,80 @@ def _fold_letters(copy: _Copy) -> None:
     copy.replace(changes)
 
 
+def _around(text: str, pattern: re.Pattern, sign: str) -> list[tuple[int, int, str]]:
+    """Replacements of the matches with the white space on either side, which is walked from the match outwards."""
+    out, last = [], 0
+    for m in pattern.finditer(text):
+        a, b = m.span()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        out.append((a, b, sign))
+        last = b
+    return out
+
+
+def _mailbox(text: str, tokens: list[tuple[int, int]], words: list[str], at: int, last: int) -> int:
+    """The first token of the local part that ends before the token ``at``; ``at`` itself if there is none."""
+    first = at
+    while first > last:
+        a, b = tokens[first - 1]
+        local = _LOCAL_END.search(text, max(a, b - 320), b)
+        if not local or words[first - 1] == "at":
+            break
+        first -= 1
+        if local.start() > a or first - 2 < last or words[first - 1] != "dot":
+            break
+        first -= 1
+    if first < at and words[first] == "dot":
+        first += 1
+    return first
+
+
+def _spoken(text: str) -> list[tuple[int, int, str]]:
+    """Replacements for " at " and " dot " of spoken addresses, in one pass over the tokens.
+
+    A domain has a spoken dot or is plainly dotted, and ends in a known ending; the word before "at" is none that prose puts
+    there. A dot also goes on an address whose sign is already written."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    words = [text[a:b].lower() if b - a <= 3 else "" for a, b in tokens]
+    between = lambda k: (tokens[k - 1][1], tokens[k + 1][0])
+    out, last, k = [], 0, 1
+    while k < len(tokens) - 1:
+        if words[k] == "dot" and "@" in text[tokens[k - 1][0]:tokens[k - 1][1]]:
+            while k < len(tokens) - 1 and words[k] == "dot" and text[tokens[k - 1][1] - 1].isalnum() and text[tokens[k + 1][0]].isalnum():
+                out.append((*between(k), "."))
+                k += 2
+            last = k
+        elif words[k] == "at":
+            after, dots, label = k + 1, [], None
+            while after < len(tokens) and words[after] not in ("at", "dot"):
+                label = _LABELS.match(text, *tokens[after])
+                if not label or label.end() < tokens[after][1] or after + 2 >= len(tokens) or words[after + 1] != "dot":
+                    break
+                dots.append(after + 1)
+                after += 2
+            if label is None and dots:
+                dots.pop()
+            first = _mailbox(text, tokens, words, k, last)
+            ending = label.group().rpartition(".")[2].lower() if label else ""
+            box = _LOCAL_END.search(text, *tokens[first]).group() if first < k else ""
+            prose = first + 1 == k and (box.lower() in PROSE or (box.isalpha() and len(box) > 5 and box.lower().endswith(("ed", "ing"))))
+            if box and label and (dots or "." in label.group()) and ending in ENDINGS and not prose:
+                out += [(*between(x), ".") for x in range(first + 1, k, 2)]
+                out.append((*between(k), "@"))
+                out += [(*between(x), ".") for x in dots]
+                last = k = after
+        k += 1
+    return out
+
+
 def _fold_signs(copy: _Copy) -> None:
-    copy.replace([(*m.span(), "@") for m in _AT.finditer(copy.text)])
-    copy.replace([(*m.span(), ".") for m in _DOT.finditer(copy.text)])
+    copy.replace(_around(copy.text, _AT, "@"))
+    copy.replace(_around(copy.text, _DOT, "."))
     if re.search(r"\s(?:dot|at)\s", copy.text, re.I):
-        changes = []
-        for m in _SPOKEN.finditer(copy.text):
-            changes += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group())]
-            changes.append((*m.span(1), "@"))
-        copy.replace(sorted(changes))
-        copy.replace([(*m.span(), ".") for m in re.finditer(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", copy.text, re.I)
-                      if "@" in copy.text[copy.text.rfind(" ", 0, m.start()) + 1:m.start()]])
+        copy.replace(_spoken(copy.text))
         copy.replace([(*m.span(), ".") for m in _DOT_OF_NUMBERS.finditer(copy.text)])
 
 
@@ -204,7 +281,7 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
         return base, []
     more = []
     for a, b, kind in plain_spans(copy.text):
-        start, end = copy.starts[a], copy.ends[b - 1]
+        start, end = int(copy.starts[a]), int(copy.ends[b - 1])
         met = [x for x in base if x[0] < end and start < x[1]]
         if all(start <= x and y <= end and (start, end) != (x, y) and k == kind for x, y, k in met):
             more.append((start, end, kind))

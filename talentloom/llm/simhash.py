@@ -16,19 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import cut, text_batches, utf8
+from talentloom.llm.common import cut, free_name, row_key, text_batches, utf8
 from talentloom.llm.graph import components
 
 DISTANCE = 4
 #: First bit and width of the segments; the last lacks nothing: 22 + 21 + 21 = 64.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: The pipeline's near-duplicate stage: bucket keys of a text, and minima in each.
-BANDS, BAND_ROWS = 24, 5
-_MIXINGS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Pairs of one node from which they are joined in portions.
-_HOT = 10_000
-#: Turns in which texts are compared with leaders, before all pairs of different components are.
-_TURNS = 3
 #: Buckets up to this size are compared by shifted arrays, larger ones by a search that grows clusters.
 _SMALL = 8
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -158,6 +151,24 @@ def _variants(signature: str, number: int) -> list[Column]:
     return keys
 
 
+def _whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, sorted by key, in tables that hold all rows of their buckets; nothing is copied twice."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy() >> 1
+        start = int(np.searchsorted(keys, keys[-1]))
+        if held and (start or held[-1].column("key")[-1].as_py() >> 1 != keys[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, start)]).combine_chunks()
+            held = []
+        elif start:
+            yield pa.Table.from_batches([batch.slice(0, start)])
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def links(nodes: DataFrame, node: str, signatures: list[str], prints: list[str], distance: int) -> DataFrame:
     """Edges (a, b) between rows of ``nodes`` whose ``prints`` differ in at most ``distance`` bits and that share a
     variant of a signature: in buckets of at most eight every link, in larger ones a spanning tree of each cluster, so
@@ -171,8 +182,6 @@ def links(nodes: DataFrame, node: str, signatures: list[str], prints: list[str],
     rows = rows.repartition(parts, F.shiftright("key", 1)).sortWithinPartitions("key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
         def edges(part: pa.Table):
             column = lambda c: part.column(c).to_numpy()
             words = np.stack([column(c).view(np.uint64) for c in prints], axis=1)
@@ -181,16 +190,8 @@ def links(nodes: DataFrame, node: str, signatures: list[str], prints: list[str],
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
-        for batch in batches:
-            fresh = pa.Table.from_batches([batch])
-            held = (fresh if held is None else pa.concat_tables([held, fresh])).combine_chunks()
-            keys = held.column("key").to_numpy() >> 1
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            if whole:
-                yield from edges(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from edges(held)
+        for part in _whole_buckets(batches):
+            yield from edges(part)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -220,168 +221,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (a null id only where all are null), of
-    repeated ids the one with the smallest hash of the text, of equal rows any. All columns stay."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    prints = cut(fingerprints(keyed.select("doc_id", "_key", "text"), width=width))
+    repeated ids the one with the smallest hash of id and text, of rows equal in both any. All columns stay."""
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    prints = cut(fingerprints(keyed.select("doc_id", key, "text"), width=width))
     placed = component_of(prints, distance)
     kept = (prints.join(placed, "fp").groupBy("component")
-            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
-
-
-def _shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """The distinct hashes of the five-word shingles, ascending; of a shorter text one of all its words, if it has any."""
-    words = text.lower().split()
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([_hash(joined)] if words else [], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1][:len(words) - width + 1].tolist()
-    return np.unique(np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)),
-                                 dtype=np.uint64, count=len(starts)))
-
-
-def _bands(shingles: np.ndarray) -> np.ndarray:
-    """Bucket keys: each hashes the least values of the shingles under five of 120 mixings. Two sets of similarity s agree in
-    a mixing with chance s wherever they differ, and in a key of all with 1 - (1 - s ** 5) ** 24."""
-    if not len(shingles):
-        return np.array([], dtype=np.int64)
-    least = np.full(len(_MIXINGS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 512):
-        part = (shingles[at:at + 512] ^ (shingles[at:at + 512] >> np.uint64(31)))[None, :] * _MIXINGS[:, None]
-        least = np.minimum(least, part.min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(least.reshape(BANDS, -1))],
-                    dtype=np.uint64).view(np.int64)
-
-
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components within each bucket of ``members`` (key, node, size, component) whose sizes
-    allow the similarity."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.select("key", "component", "node", "size").repartition(parts, "key").sortWithinPartitions("key", "component")
-
-    def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, group, node, size = (part.column(c).to_numpy() for c in ("key", "component", "node", "size"))
-        ends = np.searchsorted(key, key, "right")
-        own = np.flatnonzero(np.r_[key[1:] != key[:-1], True] | np.r_[group[1:] != group[:-1], True]) + 1
-        own = own[np.searchsorted(own, np.arange(len(key)), "right")]
-        for at in np.flatnonzero(own < ends).tolist():
-            others = slice(own[at], ends[at])
-            fit = node[others][5 * np.minimum(size[others], size[at]) >= 4 * np.maximum(size[others], size[at])]
-            if len(fit):
-                yield np.full(len(fit), node[at]), fit
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_keys(batches):
-            held, count = [], 0
-            for found in pairs(part):
-                held.append(found)
-                count += len(found[0])
-                if count > 50_000:
-                    yield _edge_batch(held)
-                    held, count = [], 0
-            if held:
-                yield _edge_batch(held)
-
-    found = rows.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _edge_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["a", "b"])
-
-
-def _whole_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows, sorted by key, in tables that hold all rows of their keys."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column("key").to_numpy()
-        start = int(np.searchsorted(keys, keys[-1]))
-        if held and (start or held[-1].column("key")[-1].as_py() != keys[0]):
-            yield from _tables([*held, batch.slice(0, start)])
-            held = []
-        elif start:
-            yield from _tables([batch.slice(0, start)])
-        held.append(batch.slice(start))
-    yield from _tables(held)
-
-
-def _tables(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
-    if parts:
-        yield pa.Table.from_batches(parts).combine_chunks()
-
-
-def _sets(keyed: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, shingles): the shingle hashes of the members' texts, computed again from one text of each."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            sets = [_shingles(x).view(np.int64) for x in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    wanted = members.select("node", "_key").dropDuplicates(["node"])
-    # equal keys come from repeated rows only, which have equal sets
-    return cut(keyed.select("_key", "text").join(wanted, "_key").select("node", "text").mapInArrow(
-        run, "node long, shingles array<long>").dropDuplicates(["node"]))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles have a Jaccard similarity of at least 0.8: 9 |a & b| >= 4 (|a| + |b|). A node that
-    leads very many pairs is joined in sixteen portions."""
-    pairs = cut(pairs)
-    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter(f"_n > {_HOT}").select("a", F.lit(True).alias("_hot"))
-    portion = F.when(F.col("_hot"), F.pmod("b", F.lit(16))).otherwise(0).cast("int")
-    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", portion.alias("_p"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(0)))
-    led = (sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")).join(pairs.select("a").distinct(), "a", "left_semi")
-           .join(F.broadcast(hot), "a", "left").select("a", "_x", F.explode(copies).alias("_p")))
-    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b").join(led, ["a", "_p"])
-    return both.filter(9 * F.size(F.array_intersect("_x", "_y")) >= 4 * (F.size("_x") + F.size("_y"))).select("a", "b")
-
-
-def keep_one_similar(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates by five-word shingles.
-
-    Texts that share a band of minima are candidates, whatever the shape of the edit. In a few turns every text is compared
-    with the leader of one of its buckets; then all pairs of a bucket that are still of different components are.
-    A pair is linked where the exact Jaccard similarity of the distinct shingles is 0.8 or more. The row with the smallest doc_id stays (a null id only where all are null), of repeated ids the one with the smallest
-    hash. Null and blank texts are one group. All columns stay.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "_key", "node", "size", "bands"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            sets = [_shingles(x) for x in utf8(batch.column("text"))]
-            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(node),
-                                              pa.array([len(x) for x in sets], pa.int64()),
-                                              pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=names)
-
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    prints = cut(keyed.select("doc_id", "_key", "text").mapInArrow(
-        run, f"doc_id {kind}, _key long, node long, size long, bands array<long>"))
-    rows = prints.dropDuplicates(["node"]).select(F.explode("bands").alias("key"), *names[1:-1])
-    members = cut(rows.join(rows.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"))
-    near = partial(_verified, sets=_sets(keyed, members))
-    placed, roots = members.select("key", "node", "size", F.col("node").alias("component")), None
-    for turn in range(_TURNS + 1):
-        bounds = placed.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"),
-                                           F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "size", "component")).alias("_led"))
-        several = bounds.filter("_l < _h").select("key", F.col("_led.node").alias("a"), F.col("_led.size").alias("_s"),
-                                                  F.col("_led.component").alias("_c"))
-        if turn < _TURNS:
-            fits = 5 * F.least("size", "_s") >= 4 * F.greatest("size", "_s")
-            pairs = (placed.join(several, "key").filter((F.col("component") != F.col("_c")) & fits)
-                     .groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b"))
-        else:
-            pairs = _cross_pairs(placed.join(several.select("key"), "key", "left_semi"))
-        found = cut(near(pairs))
-        if roots is None or found.limit(1).count():
-            roots = components(found if roots is None else found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-            placed = cut(members.select("key", "node", "size").join(roots, "node", "left")
-                         .select("key", "node", "size", F.coalesce("root", "node").alias("component")))
-    placed = prints.select("doc_id", "_key", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key")
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias(key)).select(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
