@@ -276,7 +276,7 @@ ev0 AS (SELECT t.d, term, coalesce(in_skills, false) AS in_skills, contains(summ
   FROM texts t CROSS JOIN term LEFT JOIN t_skill s USING (d, term) LEFT JOIN t_career k USING (d, term)
   LEFT JOIN t_test e USING (d, term) LEFT JOIN t_cert c USING (d, term)),
 ev1 AS (SELECT *, in_skills::INT + in_summary::INT + in_career::INT + in_cert::INT + (score > 0)::INT AS sources FROM ev0),
-evidence AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0, sources * 0.25::DOUBLE) + CASE WHEN score > 60 THEN 0.15 ELSE 0 END
+evidence AS MATERIALIZED (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0, sources * 0.25::DOUBLE) + CASE WHEN score > 60 THEN 0.15 ELSE 0 END
     + CASE WHEN months > 24 THEN 0.10 ELSE 0 END + CASE WHEN endorsements > 10 THEN 0.05 ELSE 0 END
     + CASE WHEN mentions > 1 THEN 0.10 ELSE 0 END)) AS confidence FROM ev1)"""
 

@@ -2,8 +2,8 @@
 
 Evidence depends on (candidate, term), not on the job. The terms of all jobs
 form one vocabulary, every candidate is matched against it once, and a job
-only sums over its term ids. With J jobs that share terms this replaces
-J x terms substring scans per candidate by one scan per distinct term.
+only sums over its term ids. An index of the vocabulary finds the terms to
+test, so a candidate costs as much as its texts and hits, not as the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ def _positions(values: Column, term: Column) -> Column:
     return F.array_compact(F.transform(values, lambda v, i: F.when(F.contains(v, term), i)))
 
 
-def term_evidence(terms: Column) -> Column:
+def term_evidence(terms: Column, ids: Column) -> Column:
     """Evidence structs of the terms with any trace in the record, in term order.
 
-    Terms without a trace have source count 0 and confidence 0 and are left out,
-    so the array stays short whatever the size of the vocabulary. ``id`` is the
-    0-based position of the term. Reads the helper columns of
-    ``features.prepare``; the joined texts rule out most terms with one scan
-    before any per-element loop runs.
+    ``ids`` are the 0-based positions, ascending, of the terms that may have one
+    (``termindex.lookups``); only these are tested. Terms without a trace have
+    source count 0 and confidence 0 and are left out, so the array stays short
+    whatever the size of the vocabulary. Reads the helper columns of
+    ``features.prepare``.
     """
     skills, assessments = F.col("skill_facts"), F.col("assessments")
     none = F.array().cast("array<int>")
@@ -83,7 +83,7 @@ def term_evidence(terms: Column) -> Column:
             + F.when(m["career_mentions"] > 1, 0.10).otherwise(0.0))
         return F.struct(*[m[f].alias(f) for f in _FIELDS], confidence.alias("confidence"))
 
-    found = F.filter(F.transform(terms, raw), traced)
+    found = F.filter(F.transform(ids, lambda i: raw(F.get(terms, i), i)), traced)
     return F.transform(F.transform(found, measured), judged)
 
 
@@ -147,22 +147,6 @@ def _bit_test(value, k: int):
     return lambda e: F.call_function("shiftright", value(e), F.lit(k)) % 2 == 1
 
 
-def entry_masks(words: Column, n_chunks: Column) -> Column:
-    """Per career entry, the mask of the target words it contains.
-
-    Words absent from all entries are dropped first, with one scan each.
-    """
-    present = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("id"))),
-        lambda p: F.contains(F.col("entries_text"), p["w"]))
-
-    def of_entry(entry: Column, kept: Column) -> Column:
-        found = F.filter(kept, lambda p: F.contains(entry, p["w"]))
-        return fx.let(F.transform(found, lambda p: p["id"]), lambda ids: mask(ids, n_chunks))
-
-    return fx.let(present, lambda kept: F.transform("entries_lc", lambda entry: of_entry(entry, kept)))
-
-
 # -- per job --------------------------------------------------------------------------
 
 def rollup(masks: Column, wanted: Column, n: Column, n_chunks: int) -> dict[str, Column]:

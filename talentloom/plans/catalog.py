@@ -66,7 +66,7 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _job_rows(spark: SparkSession, sf: str, table: str, id_col: str) -> DataFrame:
-    return js.jobs_from_text(D.job_texts(D.table(spark, sf, table), id_col))
+    return js.jobs_from_text(D.job_texts(D.spread(D.table(spark, sf, table)), id_col))
 
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,7 +28,9 @@ from talentloom.operators import evidence as ev
 from talentloom.operators import features as fe
 from talentloom.operators import fusion as fu
 from talentloom.operators import narrative as na
+from talentloom.operators import termindex as ti
 from talentloom.operators import vectors as ve
+from talentloom.plans.storage import shared_folder
 
 MAX_BUNDLE_BYTES = 16 * 1024 * 1024
 MAX_BUNDLE_TERMS = 8192
@@ -182,17 +184,22 @@ class Bundle:
     term_chunks: int
     word_chunks: int
     matrix: bl.JobMatrix
+    terms: list[str]
+    words: list[str]
 
 
 def job_bundles(profiles: DataFrame, max_bytes: int = MAX_BUNDLE_BYTES,
                 max_terms: int = MAX_BUNDLE_TERMS) -> list[Bundle]:
     """Bundles of jobs within ``max_bytes`` and ``max_terms`` each.
 
-    The first action measures the job side; as many bundles as needed are cut by
-    a hash of the job id. Each is then small enough to fetch and re-attach as a
-    local row, so that the job texts are analysed once and not per scoring task.
+    The jobs are analysed once, into a table below the shared folder, and measured
+    there; as many bundles as needed are cut by a hash of the job id. Each is then
+    small enough to fetch and re-attach as a local row.
     """
-    views = job_views(profiles)
+    path = shared_folder(profiles.sparkSession, "job-views")
+    made = job_views(profiles)
+    made.write.parquet(path)
+    views = profiles.sparkSession.read.schema(made.schema).parquet(path)
     size = F.octet_length(F.to_json(F.struct(*views.columns)))
     measured = views.agg(
         F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
@@ -209,7 +216,8 @@ def job_bundles(profiles: DataFrame, max_bytes: int = MAX_BUNDLE_BYTES,
                                         T.StructType([T.StructField(c, kinds[c]) for c in words]))
         jobs = session.createDataFrame(list(enumerate(row["jobs"])), T.StructType([
             T.StructField("pos", T.IntegerType()), T.StructField("job", kinds["jobs"].elementType)]))
-        bundles.append(Bundle(local, jobs, row["term_chunks"], row["word_chunks"], bl.job_matrix(row["jobs"])))
+        bundles.append(Bundle(local, jobs, row["term_chunks"], row["word_chunks"], bl.job_matrix(row["jobs"]),
+                              row["terms"], row["words"]))
     return bundles
 
 
@@ -229,19 +237,15 @@ def match_terms(facts: DataFrame, bundle: Bundle) -> DataFrame:
 
     The bundle is one row of measured size, so attaching it moves no candidate.
     """
-    joined = facts.join(F.broadcast(bundle.row), F.lit(True))
-    kept = [c for c in joined.columns if c not in _MATCH_HELPERS]
-    matched = joined.select(
-        *kept, "term_chunks",
-        *_trace_columns(),
-    )
+    joined = facts.withColumn("_found", ti.lookups(bundle.terms, bundle.words)).join(F.broadcast(bundle.row), F.lit(True))
+    kept = [c for c in joined.columns if c not in (*_MATCH_HELPERS, "_found")]
+    matched = joined.select(*kept, "term_chunks", _evidence_column(), F.col("_found.entries").alias("entry_masks"))
     return matched.select(*kept, "evidence", "entry_masks", _mask_column())
 
 
 @fx.build_once
-def _trace_columns() -> list[Column]:
-    return [ev.term_evidence(F.col("terms")).alias("evidence"),
-            ev.entry_masks(F.col("words"), F.col("word_chunks")).alias("entry_masks")]
+def _evidence_column() -> Column:
+    return ev.term_evidence(F.col("terms"), F.col("_found.ids")).alias("evidence")
 
 
 @fx.build_once
