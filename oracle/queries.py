@@ -368,6 +368,16 @@ def oracle() -> dict[str, str]:
             * least({K}, (SELECT count(*) FROM documents)) AS BIGINT) AS candidates_ranked, CAST(0 AS BIGINT) AS errors,
             CAST(5 AS BIGINT) AS n_stages, true AS timed""",
     }
+    texts |= {
+        "docx_jobs": f"{B.jobs('benchmark', 'item_id')} SELECT jd_id, pos, section, text FROM sect WHERE jd_id % 7 <> 3",
+        "docx_rejects": "SELECT item_id AS jd_id, true AS explained FROM benchmark WHERE item_id % 7 = 3",
+        "percentile_of": f"SELECT {r8('avg((o_totalprice <= 150000.0)::INT) AS percentile_rank')} FROM orders",
+        "format_dispatch": "SELECT unnest(['records.jsonl', 'records.json']) AS source, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events",
+        "stream_quantiles": """SELECT event_type, p, count(*) AS n, true AS within FROM events, (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS p)
+            WHERE value IS NOT NULL GROUP BY event_type, p""",
+        "stream_progress": "SELECT CAST(4 AS BIGINT) AS batches, count(*) AS n_rows, count(*) AS observed FROM events",
+    }
+    texts["normalize_unknown"] = texts["normalize_robust"]
     texts["stream_stats"] = texts["running_stats"]
     texts["stream_keep_best"] = texts["dedup_best"]
     # The stream carries no embeddings, so its semantic dimension is 0.

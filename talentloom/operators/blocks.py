@@ -25,6 +25,8 @@ _CELLS = 1 << 19
 _PLAIN = ("years", "title_level", "n_jobs", "progression", "growth", "semantic_coherence", "career_coherence",
           "timeline_consistency", "education_alignment", "profile_support", "behavioral_score", "availability")
 _MASKS = ("matched", "in_title", "covered")
+#: Stand-ins for absent work modes, which agree with nothing.
+_NO_MODE, _NO_ROLE = "\0mine", "\0role"
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,7 @@ class JobMatrix:
     modes: list[str]
     weights: np.ndarray
     vectors: np.ndarray
+    widths: np.ndarray
 
     @property
     def size(self) -> int:
@@ -58,9 +61,9 @@ def job_matrix(jobs: Sequence[Row]) -> JobMatrix:
         {"n": number(j["n_competencies"] for j in jobs), "required": number(j["n_required"] for j in jobs),
          "low": number(j["experience"]["min_years"] for j in jobs), "high": number(j["experience"]["max_years"] for j in jobs)},
         np.array([{"senior": 3, "mid": 2}.get(j["experience"]["seniority_level"], 1 << 20) for j in jobs]),
-        [(j["role_mode"] or "").lower() for j in jobs],
+        [_NO_ROLE if j["role_mode"] is None else j["role_mode"].lower() for j in jobs],
         np.array([[d if w is None else w for w, d in ((j["weights"][k], d) for k, d in defaults.items())] for j in jobs], dtype=float),
-        vectors)
+        vectors, np.array([0 if j["vector"] is None else len(j["vector"]) for j in jobs]))
 
 
 # -- arrays of a candidate batch --------------------------------------------------------
@@ -114,16 +117,28 @@ def _read(batch: pa.StructArray, width: int) -> _Batch:
     starts, entries = _lists(_field(batch, "entry_masks"))
     words = _words(entries) if len(entries) else np.zeros((0, 1), dtype=np.uint64)
     begin, passages = _lists(_field(batch, "vectors"))
-    there = passages.is_valid().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(batch)), np.diff(begin))
     slot = np.arange(len(passages)) - begin[row]
-    flat = passages.drop_null().flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
-    vectors = flat.reshape(int(there.sum()), -1) if there.any() else np.zeros((0, width))
-    return _Batch(np.array(_field(batch, "candidate_id").to_pylist(), dtype=object),
-                  {name: _numbers(_field(batch, name)) for name in (*_PLAIN, "proficiency", "assessed")},
-                  [(m or "").lower() for m in _field(batch, "work_mode").to_pylist()],
+    plain = {name: _numbers(_field(batch, name)) for name in (*_PLAIN, "proficiency", "assessed")}
+    plain["n_jobs"] = np.where(_field(batch, "entry_masks").is_valid().to_numpy(zero_copy_only=False), plain["n_jobs"], np.nan)
+    return _Batch(np.array(_field(batch, "candidate_id").to_pylist(), dtype=object), plain,
+                  [_NO_MODE if m is None else m.lower() for m in _field(batch, "work_mode").to_pylist()],
                   _field(batch, "relocates").fill_null(False).to_numpy(zero_copy_only=False), masks, (starts, words),
-                  (row[there], slot[there], vectors))
+                  (row, slot, _same_width(passages, width)))
+
+
+def _same_width(passages: pa.ListArray, width: int) -> np.ndarray:
+    """Passage vectors as rows of ``width``; one of another width, or with a missing number, has no similarity: zeros."""
+    sizes = passages.value_lengths().fill_null(-1).to_numpy()
+    out = np.zeros((len(passages), width))
+    fits = np.flatnonzero(sizes == width)
+    if width and len(fits):
+        flat = passages.take(pa.array(fits)).flatten().cast(pa.float64())
+        numbers = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+        if flat.null_count:
+            numbers = np.where(flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)[:, None], 0.0, numbers)
+        out[fits] = numbers
+    return out
 
 
 # -- the score as matrices ---------------------------------------------------------------
@@ -156,9 +171,8 @@ def _semantic(x: _Batch, jobs: JobMatrix) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the mean positive similarity: a similarity within rounding of 0 may count as positive or not."""
     rows, slots, vectors = x.passages
     sums, sure, unsure = (np.zeros((len(x.ids), jobs.size)) for _ in range(3))
-    if len(vectors):
-        width = min(vectors.shape[1], jobs.vectors.shape[1])
-        found = vectors[:, :width] @ jobs.vectors[:, :width].T
+    if vectors.size:
+        found = np.where(jobs.widths[None, :] == jobs.vectors.shape[1], vectors @ jobs.vectors.T, 0.0)
         for slot in range(4):
             mine, at = found[slots == slot], rows[slots == slot]
             sums[at] += np.where(mine > SLACK, mine, 0.0)
@@ -187,7 +201,7 @@ def _narrative(x: _Batch, jobs: JobMatrix) -> tuple[np.ndarray, np.ndarray]:
     for slack in (-SLACK, SLACK):
         special = np.where(recent + slack > older, more, less)
         value = _clip(_average((given["progression"], special, given["growth"], domain), S.NARRATIVE_WEIGHTS))
-        out.append(np.where(given["n_jobs"] == 0, 0.3, value))
+        out.append(np.where(given["n_jobs"] == 0, 0.3, np.where(np.isnan(given["n_jobs"]), np.nan, value)))
     return out[0], out[1]
 
 

@@ -6,9 +6,14 @@ rounded to eight digits, so that results compare exactly with the SQL oracle.
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +35,7 @@ from talentloom.plans.storage import shared_folder
 from talentloom.sources import candidates as cs
 from talentloom.sources import jobs as js
 from talentloom.sources import sinks
+from talentloom.streaming import state as ss
 from talentloom.streaming import topk as sk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,6 +466,72 @@ def ingest_kinds(spark, sf):
                             F.col("profile.headline").alias("headline")))
 
 
+def format_dispatch(spark, sf):
+    """The same records as JSON lines and as arrays; the suffix of the path decides how they are read."""
+    e = D.table(spark, sf, "events")
+    record = F.concat(F.lit('{"candidate_id":"E'), F.col("event_id").cast("string"), F.lit('"}'))
+    base = shared_folder(spark, "formats")
+    files = F.floor(F.col("event_id") / 500)
+    e.select(record.alias("value")).write.text(f"{base}/records.jsonl")
+    e.groupBy(files.alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value")).write.partitionBy(
+        "file").text(f"{base}/records.json")
+    found = None
+    for name, path in (("records.jsonl", "records.jsonl"), ("records.json", "records.json/*")):
+        good = cs.accepted(cs.parse_candidates(cs.scan_candidates(spark, f"{base}/{path}")))
+        part = good.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("candidate_id").alias("n_ids")).withColumn("source", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    return tidy(found)
+
+
+# -- .docx files ---------------------------------------------------------------------------------
+
+_DOCX_SPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _write_docx(folder: str):
+    """Writes one .docx per row to a folder that all executors share; every seventh is cut in half."""
+    def run(batches):
+        for batch in batches:
+            names = []
+            for jd_id, lines in zip(batch["jd_id"], batch["lines"], strict=True):
+                body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines)
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("word/document.xml", f"<w:document {_DOCX_SPACE}><w:body>{body}</w:body></w:document>")
+                content = held.getvalue()
+                names.append(f"{jd_id}.docx")
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{names[-1]}", "wb") as out:
+                    out.write(content[:len(content) // 2] if jd_id % 7 == 3 else content)
+            yield pd.DataFrame({"name": names})
+    return run
+
+
+def _docx_folder(spark, sf) -> str:
+    """The job texts of the benchmark as .docx files. The folder is a mounted path, as for any office files."""
+    folder = shared_folder(spark, "docx").removeprefix("file:")
+    texts = D.job_texts(D.spread(D.table(spark, sf, "benchmark")), "item_id")
+    rows = texts.select("jd_id", F.split("text", "\n").alias("lines"))
+    rows.mapInPandas(_write_docx(folder), "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _docx_id() -> Column:
+    return F.regexp_extract("jd_id", r"([0-9]+)\.docx$", 1).cast("long").alias("jd_id")
+
+
+def docx_jobs(spark, sf):
+    """Sections of job texts that were read from .docx files."""
+    jobs = js.jobs_from_docx(spark, _docx_folder(spark, sf))
+    return tidy(js.job_sections(jobs).select(_docx_id(), "pos", "section", "text"))
+
+
+def docx_rejects(spark, sf):
+    """The files that cannot be read, and that each has a reason."""
+    found = js.docx_rejects(spark, _docx_folder(spark, sf))
+    return tidy(found.select(_docx_id(), (F.length("error") > 0).alias("explained")))
+
+
 # -- encoders, copies and sinks --------------------------------------------------------------
 
 def _arithmetic_encoder():
@@ -545,6 +617,16 @@ def percentile_rank(spark, sf):
     return tidy(st.percentile_rank(_prices(spark, sf), "o_totalprice"))
 
 
+def percentile_of(spark, sf):
+    """The share of prices not above one price."""
+    return tidy(st.percentile_of(_prices(spark, sf), "o_totalprice", 150_000.0))
+
+
+def normalize_unknown(spark, sf):
+    """An unknown strategy counts as robust."""
+    return tidy(st.normalize(_prices(spark, sf), "o_totalprice", "no such strategy"))
+
+
 def running_stats(spark, sf):
     return tidy(D.table(spark, sf, "events").groupBy("event_type").agg(*st.running_statistics("value")))
 
@@ -620,35 +702,60 @@ def _event_stream(spark, sf, base: str) -> DataFrame:
 
 def stream_topk(spark, sf):
     base = shared_folder(spark, "stream-topk")
-    store = sk.TopKStore(spark, f"{base}/store")
+    ss.use_rocksdb(spark)
     rows = _event_stream(spark, sf, base).select("event_type", "user_id", "event_id", "value")
-    sk.stream_top_k(rows, store, f"{base}/checkpoint", K, ["event_type"], "user_id", "value",
-                    [F.asc("event_id")]).awaitTermination()
-    return tidy(store.latest())
+    best = ss.best_rows(rows, ["event_type"], "user_id", "value", ["event_id"], K)
+    ss.run(best, f"{base}/checkpoint").awaitTermination()
+    return tidy(ss.best_now(spark, f"{base}/checkpoint", ["event_type"], "user_id", "value", K))
 
 
 def stream_stats(spark, sf):
     base = shared_folder(spark, "stream-stats")
     totals = sk.running_statistics(_event_stream(spark, sf, base), ["event_type"], "value")
-    sk.write_versions(totals, f"{base}/out", f"{base}/checkpoint", "complete").awaitTermination()
-    return tidy(sk.TopKStore(spark, f"{base}/out").latest())
+    sk.write_versions(totals, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return tidy(sk.Versions(spark, f"{base}/out").latest())
 
 
 def stream_keep_best(spark, sf):
     base = shared_folder(spark, "stream-best")
     best = sk.keep_best(_event_stream(spark, sf, base), "user_id", "value", ["event_id"])
-    sk.write_versions(best, f"{base}/out", f"{base}/checkpoint", "complete").awaitTermination()
-    return tidy(sk.TopKStore(spark, f"{base}/out").latest())
+    ss.run(best, f"{base}/checkpoint").awaitTermination()
+    return tidy(sk.keep_best_now(spark, f"{base}/checkpoint", "user_id", "value", ["event_id"]))
+
+
+def stream_quantiles(spark, sf):
+    """Quantiles of a stream from stored sketches, and how far the share of values not above each is from what was asked."""
+    base, probs = shared_folder(spark, "stream-quantiles"), (0.1, 0.5, 0.9)
+    events = _event_stream(spark, sf, base).withColumn("day", F.to_date("ts"))
+    sk.sketch_batches(events, ["event_type", "day"], "value", f"{base}/sketches", f"{base}/checkpoint").awaitTermination()
+    found = st.sketched_quantiles(spark.read.parquet(f"{base}/sketches"), ["event_type"], probs)
+    below = D.table(spark, sf, "events").select("event_type", F.col("value").alias("_x")).join(F.broadcast(found), "event_type")
+    share = below.groupBy("event_type", "p", "n").agg(
+        F.avg((F.col("_x") <= F.col("value")).cast("double")).alias("above"),
+        F.avg((F.col("_x") < F.col("value")).cast("double")).alias("under"))
+    near = (F.col("under") <= F.col("p") + 0.02) & (F.col("above") >= F.col("p") - 0.02)
+    return tidy(share.select("event_type", "p", "n", near.alias("within")))
+
+
+def stream_progress(spark, sf):
+    """Batches and rows of a stream as its listener saw them, and the rows that the stream itself observed."""
+    base = shared_folder(spark, "stream-progress")
+    events = _event_stream(spark, sf, base).observe("seen", F.count(F.lit(1)).alias("n"))
+    log = sk.logged(spark, lambda: ss.run(events.select("event_id"), f"{base}/checkpoint"), f"{base}/progress")
+    batches = log.where("event = 'batch'").where("rows > 0")
+    counted = F.get_json_object("observed", "$.seen.n").cast("long")
+    return tidy(batches.agg(F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("n_rows"), F.sum(counted).alias("observed")))
 
 
 def stream_ranking(spark, sf):
     """The flagship as a stream: candidates arrive as JSON lines."""
     base = shared_folder(spark, "stream-ranking")
+    ss.use_rocksdb(spark)
     _candidates_json(spark, sf).write.text(f"{base}/in")
-    store = sk.TopKStore(spark, f"{base}/store")
     arriving = cs.stream_candidates(spark, f"{base}/in", files_per_batch=3)
-    sk.stream_ranking(arriving, _profiles(spark, sf), D.AS_OF, K, store, f"{base}/checkpoint").awaitTermination()
-    return tidy(rk.explain(store.latest()).select("jd_id", "candidate_id", "rank", "score", "reasoning"))
+    sk.stream_ranking(arriving, _profiles(spark, sf), D.AS_OF, K, f"{base}/checkpoint").awaitTermination()
+    ranked = sk.ranking_now(spark, f"{base}/checkpoint", K)
+    return tidy(rk.explain(ranked).select("jd_id", "candidate_id", "rank", "score", "reasoning"))
 
 
 def _candidates_json(spark, sf) -> DataFrame:
@@ -676,7 +783,8 @@ NAMES = (
     "sentence_vectors", "rank_with_copies", "csv_sink", "explanations_sink", "metadata_sink", "metrics_sink",
     "score_histogram", "score_bands", "ranking_table", "search_filter", "dims_long",
     "contrib_matrix", "candidate_card", "headline_metrics", "stream_topk", "stream_stats",
-    "stream_keep_best", "stream_ranking",
+    "stream_keep_best", "stream_ranking", "stream_quantiles", "stream_progress", "docx_jobs", "docx_rejects",
+    "percentile_of", "format_dispatch", "normalize_unknown",
 )
 
 

@@ -17,6 +17,7 @@ from talentloom.plans import pairs as pp
 from talentloom.plans import pipeline, storage
 from talentloom.sources import candidates as cs
 from talentloom.sources import jobs as js
+from talentloom.streaming import state as ss
 from talentloom.streaming import topk as sk
 
 JOB = """SENIOR SEARCH ENGINEER
@@ -243,10 +244,10 @@ def test_hot_id_needs_no_other_plan(spark):
 
 
 def test_store_keeps_two_versions(spark, tmp_path):
-    store = sk.TopKStore(spark, str(tmp_path / "s"))
+    store = sk.Versions(spark, str(tmp_path / "s"))
     for i in range(4):
         store.write(spark.range(i + 1), i)
-    assert store._versions() == [2, 3] and store.latest().count() == 4
+    assert store._finished() == [2, 3] and store.latest().count() == 4
 
 
 def test_shared_folder(spark, tmp_path):
@@ -269,10 +270,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         (tmp_path / "in" / f"{i}.jsonl").write_text("\n".join(json.dumps(r) for r in records[i::3]))
     p = profiles(spark)
-    store = sk.TopKStore(spark, f"{tmp_path}/store")
-    sk.stream_ranking(cs.stream_candidates(spark, f"{tmp_path}/in"), p, "2024-01-31", 4, store,
-                      f"{tmp_path}/cp").awaitTermination()
-    got = [(r["candidate_id"], r["rank"]) for r in store.latest().orderBy("rank").collect()]
+    ss.use_rocksdb(spark)
+    sk.stream_ranking(cs.stream_candidates(spark, f"{tmp_path}/in"), p, "2024-01-31", 4, f"{tmp_path}/cp").awaitTermination()
+    got = [(r["candidate_id"], r["rank"]) for r in sk.ranking_now(spark, f"{tmp_path}/cp", 4).orderBy("rank").collect()]
     batch = rk.rank_candidates(pp.score_pairs(people(spark, records), p, "2024-01-31"), 4)
     assert got == [(r["candidate_id"], r["rank"]) for r in batch.orderBy("rank").collect()]
 
