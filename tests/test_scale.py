@@ -49,23 +49,25 @@ def several_jobs(spark, n=9):
     return jo.hiring_profiles(js.jobs_from_text(spark.createDataFrame([*texts, ("none", "x")], "jd_id string, text string")))
 
 
-def arithmetic():
-    return lambda texts: np.array([[len(t) % 7 - 3.0, t.count("a") - 1.0, 1.0] for t in texts])
+def encoder():
+    def make():  # local, so that it travels by value
+        return lambda texts: np.array([[len(t) % 7 - 3.0, t.count("a") - 1.0, 1.0] for t in texts])
+    return make
 
 
 @pytest.mark.parametrize("k", [1, 3, 500])
 def test_pruned_ranking_is_exact(spark, k):
-    candidates = pipeline.with_vectors(people(spark, crowd()).repartition(3), arithmetic)
-    profiles = pipeline.with_job_vectors(several_jobs(spark), arithmetic)
+    candidates = pipeline.with_vectors(people(spark, crowd()).repartition(3), encoder())
+    profiles = pipeline.with_job_vectors(several_jobs(spark), encoder())
     key = lambda r: (r["jd_id"], r["rank"], r["candidate_id"], r["score"])
     whole = sorted(map(key, rk.rank_candidates(pp.score_pairs(candidates, profiles, AS_OF), k).collect()))
     assert sorted(map(key, pipeline.rank(candidates, profiles, AS_OF, k).collect())) == whole
 
 
 def test_bounds_enclose_every_score(spark):
-    candidates = pipeline.with_vectors(people(spark, crowd()), arithmetic)
+    candidates = pipeline.with_vectors(people(spark, crowd()), encoder())
     facts = pp.candidate_facts(candidates, AS_OF)
-    bundle = pp.job_bundles(pipeline.with_job_vectors(several_jobs(spark), arithmetic))[0]
+    bundle = pp.job_bundles(pipeline.with_job_vectors(several_jobs(spark), encoder()))[0]
     matched = pp.match_terms(facts, bundle).withColumn("need", bl._needed())
     batch = matched.select("need").toArrow().column("need").combine_chunks()
     batch = batch.chunk(0) if hasattr(batch, "chunk") else batch
