@@ -154,8 +154,14 @@ def sentences(text: Column) -> Column:
     return F.filter(trimmed, lambda p: p != "")
 
 
+#: Characters that count as white space around a field.
+WHITE = (" \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+         "\u2028\u2029\u202f\u205f\u3000")
+
+
 def join_fields(*fields: Column, separator: str = " ") -> Column:
-    return F.concat_ws(separator, *[F.nullif(F.trim(f), F.lit("")) for f in fields])
+    """The fields that are not blank, without the white space around them."""
+    return F.concat_ws(separator, *[F.nullif(F.btrim(f, F.lit(WHITE)), F.lit("")) for f in fields])
 
 
 def contains_any(text: Column, terms: Sequence[str], ignore_case: bool = True) -> Column:

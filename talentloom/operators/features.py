@@ -160,3 +160,18 @@ _BEHAVIOR_FIELDS = (
 
 def behavior_fields(signals: Column) -> Column:
     return F.struct(*[signals[source].alias(name) for name, source in _BEHAVIOR_FIELDS])
+
+
+# -- the numeric vector ---------------------------------------------------------------
+
+#: The vector's places, in order.
+VECTOR_NAMES = ("years", "title_relevance", "skills_ratio", "skill_coverage", "assessment_avg", "career_similarity",
+                "semantic", "response_rate", "completeness")
+
+
+def numeric_vector() -> Column:
+    """The nine features of a scored pair as an array of single-precision numbers; reads the columns of ``score_rows``."""
+    values = (F.col("years"), F.col("title_relevance"), F.col("skills_ratio"), F.col("skill_coverage"),
+              F.col("skill.assessment_score_avg"), F.col("sim.career_similarity"), F.col("semantic_score"),
+              F.col("response_rate"), F.col("completeness") / 100.0)
+    return F.array(*[v.cast("float") for v in values])

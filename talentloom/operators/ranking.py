@@ -63,10 +63,16 @@ def rank_candidates(scored: DataFrame, k: int = S.DEFAULT_TOP_K, copies: int | N
     return top_k(rows.drop("_bucket"), k, "score", [F.asc("candidate_id")], ["jd_id"])
 
 
-def funnel(scored: DataFrame, cutoffs: Sequence[int] = S.FUNNEL_CUTOFFS) -> DataFrame:
-    """Staged cuts per job: cheap, semantic, evidence, behaviour, final score."""
-    stages = [F.col("cheap_score"), F.col("semantic_relevance"), F.col("evidence_strength"),
-              F.col("behavioral") + F.col("recruitability"), F.col("score")]
+def cheap_cut(rows: DataFrame, cutoff: int) -> DataFrame:
+    """First stage of the funnel: (jd_id, candidate_id, row_hash) of the best by cheap score; of an id's rows the best one."""
+    slim = rows.select("jd_id", "candidate_id", "row_hash", "cheap_score")
+    best = keep_best(slim, ["jd_id", "candidate_id"], "cheap_score", [F.asc("row_hash")])
+    return top_k(best, cutoff, "cheap_score", [F.asc("candidate_id")], ["jd_id"]).select("jd_id", "candidate_id", "row_hash")
+
+
+def later_cuts(scored: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
+    """The other stages, on the pairs that are left: semantic, evidence, behaviour, final score."""
+    stages = [F.col("semantic_relevance"), F.col("evidence_strength"), F.col("behavioral") + F.col("recruitability"), F.col("score")]
     rows = keep_best(scored, ["jd_id", "candidate_id"], "score", [F.asc("row_hash")])
     for stage, cutoff in zip(stages, cutoffs):
         rows = top_k(rows.withColumn("_stage", stage), cutoff, "_stage", [F.asc("candidate_id")],

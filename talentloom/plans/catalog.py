@@ -184,20 +184,14 @@ def top_report(spark, sf):
 
 
 def cheap_funnel(spark, sf):
-    return tidy(rk.funnel(_scored(spark, sf), FUNNEL).select(
+    return tidy(pipeline.funnel(_candidates(spark, sf), _profiles(spark, sf), D.AS_OF, FUNNEL).select(
         "jd_id", "candidate_id", "rank", "cheap_score", "score"))
 
 
 def feature_vector(spark, sf):
     """The nine-wide numeric vector as single-precision columns."""
-    single = lambda c, name: c.cast("float").cast("double").alias(name)
-    return _pair(
-        spark, sf, single(F.col("years"), "years"), single(F.col("title_relevance"), "title_relevance"),
-        single(F.col("skills_ratio"), "skills_ratio"), single(F.col("skill_coverage"), "skill_coverage"),
-        single(F.col("skill.assessment_score_avg"), "assessment_avg"),
-        single(F.col("sim.career_similarity"), "career_similarity"), single(F.col("semantic_score"), "semantic"),
-        single(F.col("response_rate"), "response_rate"),
-        single(F.col("completeness") / 100.0, "completeness"))
+    vector = fe.numeric_vector()
+    return _pair(spark, sf, *[F.get(vector, F.lit(i)).cast("double").alias(name) for i, name in enumerate(fe.VECTOR_NAMES)])
 
 
 def dedup_best(spark, sf):

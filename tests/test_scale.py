@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from talentloom.functions import scalars as fx
 from talentloom.operators import blocks as bl
 from talentloom.operators import jobs as jo
 from talentloom.operators import ranking as rk
@@ -90,6 +91,26 @@ def test_few_pairs_are_scored(spark):
     assert 30 <= left < 600 * bundle.matrix.size / 5
 
 
+def test_funnel_scores_what_the_cheap_cut_leaves(spark):
+    candidates, profiles = people(spark, [person(i, profile={**person(i)["profile"], "years_of_experience": float(i)}) for i in range(30)]), several_jobs(spark)
+    cuts = (12, 8, 6, 4, 2)
+    rows = [r.asDict() for r in pp.score_pairs(candidates, profiles, AS_OF).select("jd_id", "candidate_id", "cheap_score", "score", *pp.DIMENSION_COLUMNS).collect()]
+    want = set()
+    for job in {r["jd_id"] for r in rows}:
+        left = [r for r in rows if r["jd_id"] == job]
+        for cut, stage in zip(cuts, (lambda r: r["cheap_score"], lambda r: r["semantic_relevance"], lambda r: r["evidence_strength"],
+                                     lambda r: r["behavioral"] + r["recruitability"], lambda r: r["score"]), strict=True):
+            left = sorted(left, key=lambda r: (-stage(r), r["candidate_id"]))[:cut]  # noqa: B023
+        want |= {(r["jd_id"], r["candidate_id"], n + 1) for n, r in enumerate(left)}
+    assert {(r["jd_id"], r["candidate_id"], r["rank"]) for r in pipeline.funnel(candidates, profiles, AS_OF, cuts).collect()} == want
+
+
+def test_joined_fields_lose_white_space(spark):
+    row = spark.createDataFrame([("\t a b\u00a0\n", " \r\n", None, "c")], "a string, b string, c string, d string").select(
+        fx.join_fields(*[F.col(c) for c in "abcd"], separator="|").alias("v")).first()
+    assert row["v"] == "a b|c"
+
+
 def test_best_remembers_distinct_ids():
     rng = np.random.default_rng(3)
     best, seen = bl._Best(4, 3), {}
