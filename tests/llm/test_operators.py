@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -434,6 +435,29 @@ def test_clean_texts_get_no_spans():
         assert private.find(text) == ([], [])
 
 
+@pytest.mark.parametrize("text", [
+    "meet me at noon.then we go", "we arrived at node.js today", "look at config.yaml first", "He was at home.com again",
+    "contact us at example.com", "sold out at shop.de", "we stayed at hotel.com", "at at at", "dot at dot dot com", "a dot of paint at a dot b"])
+def test_prose_before_at_is_no_mailbox(text):
+    assert private.find(text) == ([], [])
+
+
+@pytest.mark.parametrize("text,source", [
+    ("x@mail dot example dot com", "x@mail dot example dot com"), ("ann.b_7 at foo.de", "ann.b_7 at foo.de"),
+    ("(jane at example.com)", "jane at example.com"), ("to bob at corp dot example dot org, thanks", "bob at corp dot example dot org")])
+def test_spoken_addresses(text, source):
+    assert source in [text[a:b] for a, b, kind in private.find(text)[1] if kind == "email"]
+
+
+@pytest.mark.parametrize("text", [
+    "price 3\u20134 euro" + " " * 10 ** 6, "price 3\u20134 euro" + "\n" * 10 ** 6, "( dot  at " + "(" * 10 ** 6, "( dot  at " + "( " * 500_000,
+    "a dot " * 170_000, "at dot " * 150_000, "\u2013 a at " + "x" * 10 ** 6 + " at a.com", "\u2013 b at " + "a." * 500_000])
+def test_long_texts_take_seconds(text):
+    begin = time.process_time()
+    private.find(text)
+    assert time.process_time() - begin < 20
+
+
 def test_private_table(spark, docs, empty):
     data = rows() + [(300, "\U0001F600 a@b.cc and 10.0.0.1", None, None), (301, "x" * 200_000 + "@", None, None)]
     got = {r["doc_id"]: r for r in private.find_private(table(spark, data)).collect()}

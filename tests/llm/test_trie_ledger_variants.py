@@ -273,7 +273,7 @@ def test_spelling_variants_of_documents(spark):
     rows += [(None, "Straßen " * 9), (None, None), (3, None), (4, ""), rows[5], rows[5]]
     docs = spark.createDataFrame([(i, t, "w", 1, "h", "x") for i, t in rows], "doc_id long, text string, word string, n int, half string, run string")
     got = sorted(map(tuple, variants.spelling_variants(docs).collect()))
-    assert got == brute_near(brute_occurrences(rows)) and len(got) > 20
+    assert got == brute_near(brute_occurrences(rows)) and any(r[1] for r in got)
     assert variants.spelling_variants(docs.limit(0)).count() == 0
 
 
