@@ -65,11 +65,11 @@ def test_ingest_rejects_and_coercion(spark):
     lines = ['{"candidate_id":"a","profile":{"years_of_experience":"12.5"},'
              '"skills":[{"name":"x","endorsements":12.7,"duration_months":"12.5"}],'
              '"platform_signals":{"open_to_work_flag":"true","skill_assessment_scores":{"z":80,"a":"bad","m":null}}}',
-             "", "{bad", "[1]", '{"candidate_id":""}', '{"candidate_id":"b","profile":null}',
+             "", "{bad", '{"candidate_id":"t"} x', '{"candidate_id":"t"}{}', '{"candidate_id":"t"},1', '{"candidate_id":"t"}]', "[1]", '{"candidate_id":""}', '{"candidate_id":"b","profile":null}',
              '{"candidate_id":"c"}', '{"candidate_id":"d","skills":["x"]}']
     parsed = cs.parse_candidates(spark.createDataFrame([(x,) for x in lines], "value string"))
     reasons = {r["_reject"]: r["count"] for r in cs.rejected(parsed).groupBy("_reject").count().collect()}
-    assert reasons == {"malformed": 1, "invalid": 4}
+    assert reasons == {"malformed": 5, "invalid": 4}
     rows = {r["candidate_id"]: r for r in cs.accepted(parsed).collect()}
     assert set(rows) == {"a", "c"}
     a = rows["a"]
