@@ -360,6 +360,23 @@ def test_quality_scores(spark, docs, empty):
     assert ranking.score_documents(empty, labels).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    rng = random.Random(4)
+    data = [(i, words(rng, rng.randint(2, 9)) + (" !" if rng.random() < (0.7 if i % 4 else 0.2) else ""), None, None) for i in range(7000)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(7000)], "doc_id long, quality int")
+    rows = ranking.featured(table(spark, data).repartition(5))
+    model = ranking.train(rows, labels, F.col("doc_id") % 10 != 0)
+    mine = {r["doc_id"]: r["features"] for r in rows.collect()}
+    ids = [i for i in range(7000) if i % 10]  # more than 3,000 of label 0, all of which count
+    good = np.array([i % 4 == 0 for i in ids])
+    local = ranking.fit(np.array([mine[i] for i in ids]), good, float((~good).mean()))
+    assert np.allclose(model.edges, local.edges) and np.allclose(model.weights, local.weights, atol=1e-6)
+    strengths = np.sort(local.strengths(np.array([mine[i] for i in ids])))
+    assert model.threshold == pytest.approx(strengths[(~good).sum() - 1:(~good).sum() + 1].mean(), abs=1e-6)
+    again = ranking.train(rows.repartition(2), labels, F.col("doc_id") % 10 != 0)
+    assert (model.weights == again.weights).all() and model.threshold == again.threshold
+
+
 # 7
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
