@@ -12,6 +12,7 @@ from talentloom.operators import jobs as jo
 from talentloom.operators import ranking as rk
 from talentloom.operators import statistics as st
 from talentloom.operators import termindex as ti
+from talentloom.plans import catalog
 from talentloom.plans import pairs as pp
 from talentloom.plans import pipeline
 from talentloom.sources import jobs as js
@@ -252,3 +253,21 @@ def test_pruned_plan_has_no_shuffle_before_the_ranks(spark):
     scored = pp.score_bundle(pp.candidate_facts(people(spark, crowd(5)), AS_OF), bundle, 3).select("jd_id", "candidate_id", "score", "row_hash")
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_nested_candidates_are_not_shuffled(spark, tmp_path):
+    docs = [(i, "one two. three\nfour five", "en", "web", 22) for i in (1, 2, 2, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "view", None), (None, "view", None)], "user_id long, event_type string, ts timestamp").write.parquet(
+        f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(2, [1.0, 0.0]), (None, [0.0, 1.0]), (9, [1.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = catalog._candidates(spark, str(tmp_path))
+        assert "hashpartitioning(candidate_id" not in found._jdf.queryExecution().executedPlan().toString()
+        seen = sorted((r["candidate_id"][-1], r["vectors"] is not None, r["platform_signals"]["profile_views_received_30d"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert seen == [("1", False, 1), ("2", True, 0), ("2", True, 0), ("l", True, 0)]
