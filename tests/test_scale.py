@@ -255,6 +255,19 @@ def test_pruned_plan_has_no_shuffle_before_the_ranks(spark):
     assert "ArrowEvalPython" in plan and "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
+# -- all pairs ----------------------------------------------------------------------------
+
+def test_all_pairs_lists_equal_the_expressions(spark):
+    facts = pp.candidate_facts(people(spark, crowd(30)).repartition(3), AS_OF)
+    bundle, = pp.job_bundles(several_jobs(spark, 5))
+    matched = pp.match_terms(facts, bundle).cache()
+    names = ["jd_id", "candidate_id", "row_hash", "matched_count", "evidence_score", "evidence_coverage", "evidence_density",
+             "strong_count", "weak_count", "title_relevance", "relevant_months", "relevant_assessment", "unsupported_terms",
+             "first_hits", "domain_hits"]
+    rows = [sorted(map(str, pp.pair_rows(x, bundle).select(*names).collect())) for x in (matched, bl.measured(matched, bundle.matrix))]
+    assert rows[0] == rows[1] and len(rows[0]) == matched.count() * bundle.matrix.size
+
+
 def test_nested_candidates_are_not_shuffled(spark, tmp_path):
     docs = [(i, "one two. three\nfour five", "en", "web", 22) for i in (1, 2, 2, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
