@@ -1,5 +1,6 @@
 """Operators that prune, index, sketch or keep state, against plain versions."""
 
+import json
 import random
 
 import numpy as np
@@ -284,3 +285,15 @@ def test_nested_candidates_are_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert seen == [("1", False, 1), ("2", True, 0), ("2", True, 0), ("l", True, 0)]
+
+
+def test_format_dispatch_writes_one_array_a_task(spark, tmp_path, monkeypatch):
+    ids = [*range(2000), 7, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    got = {tuple(r) for r in catalog.format_dispatch(spark, str(tmp_path)).select("source", "n", "n_ids").collect()}
+    assert got == {("records.jsonl", 2001, 2000), ("records.json", 2001, 2000)}
+    files = [p for p in (tmp_path / "formats" / "records.json").rglob("part-*") if p.is_file()]
+    tasks = spark.read.parquet(str(tmp_path / "events.parquet")).rdd.getNumPartitions()
+    assert 1 <= len(files) <= tasks
+    assert all(len(json.loads(p.read_text())) for p in files)
