@@ -23,6 +23,8 @@ SEED_WORDS = 5
 COVERAGE = 0.8
 #: Bytes of test items that one scan of the documents carries; larger test sets take more scans.
 BLOCK_BYTES = 16 << 20
+#: Characters of texts that a scan takes together; a longer text is taken alone.
+SCAN_CHARS = 1 << 20
 _WORDS = re.compile(r"[^\W_]+")
 _BASE, _MODULUS = 1_000_003, (1 << 61) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +105,12 @@ class Items:
             for at, value in enumerate(self.hashes(np.array(ids), width).tolist()):
                 seeds[width][value].append((len(self.items), at))
             self.items.append((item_id, ids))
-        self.seeds = {w: (np.array(sorted(x), dtype=np.uint64), dict(x)) for w, x in seeds.items()}
+        self.seeds = {}
+        for width, places in seeds.items():
+            known = sorted(places)
+            where = np.array([at for value in known for at in places[value]], dtype=np.int64)
+            ends = np.cumsum([len(places[value]) for value in known])
+            self.seeds[width] = (np.array(known, dtype=np.uint64), ends, where[:, 0], where[:, 1])
 
     @staticmethod
     def hashes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -115,7 +122,17 @@ class Items:
         return out
 
     def scan(self, texts: list[str], coverage: float) -> Iterator[tuple[int, object, int, int, int]]:
-        """(text number, item_id, matched words, words of the item, tiles) of the pairs that reach the coverage."""
+        """(text number, item_id, matched words, words of the item, tiles) of the pairs that reach the coverage. Texts are
+        taken together up to a number of characters, and seeds one text at a time, so long texts do not add up."""
+        begin, size = 0, 0
+        for at, text in enumerate(texts):
+            if at > begin and size + len(text) > SCAN_CHARS:
+                yield from self._scan(texts[begin:at], begin, coverage)
+                begin, size = at, 0
+            size += len(text)
+        yield from self._scan(texts[begin:], begin, coverage)
+
+    def _scan(self, texts: list[str], first: int, coverage: float) -> Iterator[tuple[int, object, int, int, int]]:
         get = self.vocabulary.get
         parts, starts, at = [], [], 0
         for text in texts:
@@ -126,30 +143,41 @@ class Items:
             at += len(ids) + 1
         ids = np.array(parts, dtype=np.int64)
         bad = np.r_[0, np.cumsum(ids < 0)]
-        pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for width, (known, where) in self.seeds.items():
+        seeded = []
+        for width, (known, ends, items, places) in self.seeds.items():
             values = self.hashes(ids, width)
             slot = np.minimum(np.searchsorted(known, values), len(known) - 1)
             hits = np.flatnonzero((known[slot] == values) & (bad[width:] == bad[:-width])[: len(values)])
             owners = np.searchsorted(starts, hits, "right") - 1
-            for hit, owner, value in zip(hits.tolist(), owners.tolist(), values[hits].tolist(), strict=True):
-                for item, place in where[value]:
-                    pairs[owner, item].append((hit, place, width))
-        for (owner, item), found in sorted(pairs.items()):
-            item_id, pattern = self.items[item]
-            if len({p + i for _, p, w in found for i in range(w)}) < coverage * len(pattern):
-                continue  # tiles lie within seeds, so they cannot cover more
-            spots = sorted({t + i for t, _, w in found for i in range(w)})
-            text, last = [], None
-            for spot in spots:
-                if last is not None and spot != last + 1:
-                    text.append(-1)
-                text.append(int(ids[spot]))
-                last = spot
-            got = tiles(pattern, text, found[0][2])
-            matched = sum(x[2] for x in got)
-            if matched >= coverage * len(pattern):
-                yield owner, item_id, matched, len(pattern), len(got)
+            seeded.append((width, ends, items, places, hits, slot[hits], owners))
+        for owner in sorted({x for *_, owners in seeded for x in owners.tolist()}):
+            pairs = []
+            for width, ends, items, places, hits, slot, owners in seeded:
+                mine = slice(*np.searchsorted(owners, (owner, owner + 1)))
+                end = ends[slot[mine]]
+                count = end - np.where(slot[mine] > 0, ends[slot[mine] - 1], 0)
+                at = np.repeat(end - np.cumsum(count), count) + np.arange(count.sum())  # every place of every hit
+                order = np.argsort(items[at], kind="stable")
+                found = items[at][order]
+                cuts = np.flatnonzero(np.diff(found)) + 1
+                spots, held = np.repeat(hits[mine], count)[order], places[at][order]
+                pairs += [(int(item[0]), width, t, p) for item, t, p in zip(
+                    np.split(found, cuts), np.split(spots, cuts), np.split(held, cuts), strict=True) if len(item)]
+            for item, width, hit, place in sorted(pairs, key=lambda x: x[0]):
+                item_id, pattern = self.items[item]
+                run = np.arange(width)
+                if len(np.unique(np.unique(place)[:, None] + run)) < coverage * len(pattern):
+                    continue  # tiles lie within seeds, so they cannot cover more
+                text, last = [], None
+                for spot in np.unique(np.unique(hit)[:, None] + run).tolist():
+                    if last is not None and spot != last + 1:
+                        text.append(-1)
+                    text.append(int(ids[spot]))
+                    last = spot
+                got = tiles(pattern, text, width)
+                matched = sum(x[2] for x in got)
+                if matched >= coverage * len(pattern):
+                    yield first + owner, item_id, matched, len(pattern), len(got)
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:

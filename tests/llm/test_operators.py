@@ -726,3 +726,26 @@ def test_mixed_texts_stay(spark):
     assert scores[500] < 0.4 and scores[501] < 0.4
     kept = {r["doc_id"] for r in crf.with_language(table(spark, data)).collect()}
     assert {500, 501} <= kept and 502 not in kept and len(kept) == 82
+
+
+def test_tiling_memory_does_not_follow_a_passage_that_all_items_and_texts_repeat():
+    import tracemalloc
+    shared = " ".join(f"w{i}" for i in range(12))
+    items = tiling.Items([(i, f"{shared} own{i}") for i in range(60)])
+    texts = [f"{shared} . " * 300] * 10
+    tracemalloc.start()
+    try:
+        found = list(items.scan([*texts, f"{shared} own7"], 1.0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [(10, 7, 13, 13, 1)]
+    assert peak < 30 << 20
+
+
+def test_tiling_scan_gives_the_same_text_by_text(monkeypatch):
+    items = tiling.Items([(1, "a b c d e f"), (2, "b c"), (3, "c d e f g a b"), (4, "")])
+    texts = ["a b c d e f g a b c", "", "b c", "x " * 50, "c d e f g a b . b c", "a b"]
+    whole = list(items.scan(texts, 0.5))
+    monkeypatch.setattr(tiling, "SCAN_CHARS", 4)
+    assert whole and list(items.scan(texts, 0.5)) == whole
